@@ -7,12 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pithy.llm import bpe, decontaminate, lexicon, token_counts
+from pithy.llm import bpe, decontaminate, language_id, lexicon, quality, token_counts
 from pithy.llm.tables import table
 
 WORD_VOCAB, BYTE_VOCAB = "word_bpe_49k.json", "byte_bpe_50k.json"
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = language_id.fold("doc_id", 4) == 2
+    model = language_id.train(docs.where(~held))
+    out = language_id.identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "cross_entropy", "n_letters", "rejected")
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    led = quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents")), "prose-1")
+    base = F.col("fail_bits").bitwiseAND(F.lit(quality.mask("base-1")).cast("long")) != 0
+    return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "fail_bits")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     both = bpe.encode_decode(docs, lexicon.default_path(WORD_VOCAB))
@@ -37,9 +51,39 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op4_quality_rules": op4_quality_rules,
     "op5_bpe": op5_bpe,
     "op6_token_counts": op6_token_counts,
     "op8_decontaminate": op8_decontaminate,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_quality_rules": r"""
+with d as (
+  select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l
+  from documents),
+g as (
+  select doc_id, unnest(generate_series(1, len(w) - 2)) as p, w from d where len(w) >= 3),
+k as (
+  select doc_id, p, count(*) over (partition by doc_id, w[p], w[p + 1], w[p + 2]) as n from g),
+c as (
+  select doc_id, count(distinct q) as n_repeat_words
+  from (select doc_id, unnest([p, p + 1, p + 2]) as q from k where n >= 2) group by doc_id),
+m as (
+  select d.doc_id, len(w)::bigint as n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::bigint as word_chars,
+         len(regexp_extract_all(t, '[#*$%&|<>]'))::bigint as n_symbols, len(l)::bigint as n_lines,
+         (len(l) - len(list_distinct(l)))::bigint as n_dup_lines,
+         len(list_filter(l, lambda x: regexp_matches(x, '^[ \t]*[-*•·]')))::bigint as n_bullet_lines,
+         len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…)[ \t\r]*$')))::bigint as n_ellipsis_lines,
+         coalesce(n_repeat_words, 0)::bigint as n_repeat_words
+  from d left join c on d.doc_id = c.doc_id),
+b as (
+  select *, ((n_words < 50)::int + 2 * (100 * n_repeat_words > 50 * n_words)::int + 4 * (10 * n_symbols > 3 * n_words)::int
+    + 8 * (100 * n_dup_lines > 60 * n_lines)::int + 16 * (word_chars < 2 * n_words)::int + 32 * (word_chars > 20 * n_words)::int
+    + 64 * (10 * n_bullet_lines > 9 * n_lines)::int + 128 * (10 * n_ellipsis_lines > 5 * n_lines)::int)::bigint as fail_bits
+  from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 as base_failed, fail_bits = 0 as kept, fail_bits from b
+""",
+}
