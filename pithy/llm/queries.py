@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pithy.llm import bpe, decontaminate, language_id, lexicon, quality, token_counts
+from pithy.llm import bpe, decontaminate, language_id, lexicon, quality, token_counts, toxicity
 from pithy.llm.tables import table
 
 WORD_VOCAB, BYTE_VOCAB = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -21,6 +21,13 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "cross_entropy", "n_letters", "rejected")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = language_id.fold("doc_id", 5) == 0
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").where(~held))
+    return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     led = quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents")), "prose-1")
     base = F.col("fail_bits").bitwiseAND(F.lit(quality.mask("base-1")).cast("long")) != 0
@@ -52,6 +59,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_toxicity": op2_toxicity,
     "op4_quality_rules": op4_quality_rules,
     "op5_bpe": op5_bpe,
     "op6_token_counts": op6_token_counts,
