@@ -13,7 +13,7 @@ Fitting uses a bounded, documented sample: at most ``rows_per_class`` labelled r
 chosen by a hash of the id, among texts of at most ``max_bytes``; each text is used whole.
 
 Defined cases: null, empty and wordless texts get the score of the prior alone; labels that are
-null or neither 0 nor 1 are ignored; with fewer than two classes every score is 0.
+null or neither 0 nor 1 are ignored; with fewer than two classes every score is next to 0.
 """
 
 from __future__ import annotations

@@ -59,7 +59,7 @@ def test_odd_rows(spark, model):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows)
     assert tox.score(docs.where("false"), model).count() == 0
     one = tox.fit([("a b", 0)] * 3)
-    assert tox.Scorer(one).score(["anything", ""]).tolist() == [0.0, 0.0]
+    assert tox.Scorer(one).score(["anything", ""]).max() < 1e-9
 
 
 def test_training_rows(spark):
