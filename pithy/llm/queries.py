@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pithy.llm import bpe, decontaminate, language_id, lexicon, near_dup, quality, token_counts, toxicity
+from pithy.llm import bpe, decontaminate, html_text, language_id, lexicon, near_dup, quality, token_counts, toxicity
 from pithy.llm.tables import table
 
 WORD_VOCAB, BYTE_VOCAB = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -28,6 +28,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     led = quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents")), "prose-1")
     base = F.col("fail_bits").bitwiseAND(F.lit(quality.mask("base-1")).cast("long")) != 0
@@ -64,6 +69,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
+    "op3_html_text": op3_html_text,
     "op4_quality_rules": op4_quality_rules,
     "op5_bpe": op5_bpe,
     "op6_token_counts": op6_token_counts,
