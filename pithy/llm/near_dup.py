@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from pithy.llm.arrow import map_slices, raw, struct_array, struct_type, text_column, with_struct
 from pithy.llm.components import connected
-from pithy.llm.tables import shared_dir, written
+from pithy.llm.tables import shared_dir, with_class, written
 
 SHINGLE = 3
 REGISTERS, MANTISSA = 160, 10
@@ -43,8 +43,6 @@ THRESHOLD_PERCENT = 85
 MARGIN = 0.14
 BLOCK = 256
 TABLE_WORDS = 200_000
-#: Classes with more than this part of all documents (there are at most as many as its inverse) are hot.
-HOT_PART = 1 / 2000
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _U = np.uint64
@@ -277,12 +275,6 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_column(docs, text_col).alias("text"))
     comp = components(nodes, texts, folder)
     of_class = written(nodes.join(comp, "id", "left").select("h1", "h2", F.coalesce("comp", "id").alias("component_id"), "copies"), f"{folder}/classes")
-    # classes of very many copies: at most 1 / HOT_PART, so they can be broadcast; the rest is joined by key
-    total = all_.count()
-    hot = of_class.where(F.col("copies") > max(200, int(total * HOT_PART))).drop("copies")
-    cold = of_class.where(F.col("copies") <= max(200, int(total * HOT_PART))).drop("copies")
-    ids = all_.select("id", "n_shingles", "h1", "h2")
-    step = ids.join(F.broadcast(hot.select("h1", "h2", F.col("component_id").alias("hot_id"))), ["h1", "h2"], "left")
-    few = step.where("hot_id is null").select("id", "n_shingles", "h1", "h2").join(cold, ["h1", "h2"], "left").select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
-    many = step.where("hot_id is not null").select("id", "n_shingles", F.col("hot_id").alias("component_id"))
-    return few.unionByName(many).select(F.col("id").alias(id_col), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    ids = with_class(all_.select("id", "n_shingles", "h1", "h2"), of_class, ["h1", "h2"], "copies")
+    own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id"))
+    return ids.select(F.col("id").alias(id_col), "n_shingles", own.alias("component_id"), (F.col("id") == own).alias("kept"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,3 +27,24 @@ def written(df: DataFrame, path: str) -> DataFrame:
     """``df`` written as Parquet and read back: the lineage is cut by a table that all executors share."""
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Classes with more than this part of all rows are hot; there are at most as many as its inverse.
+HOT_PART, HOT_LEAST = 1 / 2000, 200
+
+
+def with_class(rows: DataFrame, classes: DataFrame, keys: list[str], size_col: str) -> DataFrame:
+    """``rows`` left-joined with ``classes`` (one row per key, with the number of its rows in ``size_col``).
+
+    A class of very many rows would meet in one task. Hot classes, at most 1 / HOT_PART of them
+    whatever the table, are broadcast; all others are joined by key and are small.
+    """
+    total = rows.count()
+    most = max(HOT_LEAST, int(total * HOT_PART))
+    hot = classes.where(F.col(size_col) > most).withColumn("__hot", F.lit(True))
+    cold = classes.where(F.col(size_col) <= most)
+    mine = [c for c in classes.columns if c not in keys and c != size_col]
+    step = rows.join(F.broadcast(hot.drop(size_col)), keys, "left")
+    many = step.where("__hot").drop("__hot")
+    few = step.where("__hot is null").drop("__hot", *mine).join(cold.drop(size_col), keys, "left")
+    return many.unionByName(few)
