@@ -26,11 +26,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 
 from pithy.llm.arrow import map_slices, struct_array, struct_type, text_column, texts, with_struct
-from pithy.llm.lexicon import cutter, kind_of
+from pithy.llm.lexicon import Table, cutter, kind_of
 
-#: Pieces kept with their ids in each worker.
-TABLE_PIECES = 250_000
+#: Pieces and pre-tokens kept with their ids in each generation of a worker's tables.
+TABLE_PIECES, TABLE_TOKENS = 150_000, 200_000
 KEPT_CHARS = 64
+#: Letters that are composed, stay one letter in lower case and form one pre-token, with ASCII marks behind them.
+_LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
+_EASY = re.compile(f"([{_LATIN}]+)([!-&(-/:-@\\[-`{{-~]*)")
 
 RESULT = struct_type(ids=T.ArrayType(T.IntegerType(), False), decoded=T.StringType())
 
@@ -121,45 +124,57 @@ class Bpe:
         self.token_of = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.byte_level = (spec.get("decoder") or {}).get("type") == "ByteLevel"
         self.byte_of = {c: b for b, c in enumerate(byte_letters())}
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def symbols(self, part: str) -> list[list[int]]:
-        """Ids of the letters of each pre-token of a part without special strings."""
-        if self.lower_ascii and part.isascii() and part.isalpha():
-            tokens = [part.lower()]
-        else:
-            norm = self.normalizer.normalize_str(part) if self.normalizer else part
-            tokens = [t for t, _ in self.pre.pre_tokenize_str(norm)]
-        vocab, suffix = self.vocab, self.suffix
-        return [[*[vocab[c] for c in t[:-1]], vocab[t[-1] + suffix]] for t in tokens if t]
+        self.letter_of = byte_letters()
+        self.known, self.tokens = Table(TABLE_PIECES), Table(TABLE_TOKENS)
+
+    def pre_tokens(self, part: str) -> list[str]:
+        """Pre-tokens, as letters for bytes, of a part without special strings."""
+        if self.lower_ascii and (easy := _EASY.fullmatch(part)):
+            word, marks = easy.groups()
+            word = word.lower()
+            word = word if word.isascii() else "".join(map(self.letter_of.__getitem__, word.encode()))
+            return [word, marks] if marks else [word]
+        norm = self.normalizer.normalize_str(part) if self.normalizer else part
+        return [t for t, _ in self.pre.pre_tokenize_str(norm) if t]
+
+    def symbols(self, token: str) -> list[int]:
+        """Ids of the letters of a pre-token."""
+        vocab = self.vocab
+        out = list(map(vocab.__getitem__, token))
+        out[-1] = vocab[token[-1] + self.suffix]
+        return out
 
     def learn(self, pieces: list[str]) -> dict[str, tuple[int, ...]]:
-        """Ids of distinct pieces, all merged over one index."""
-        plans, todo = [], []
+        """Ids of distinct pieces; their new pre-tokens are all merged over one index."""
+        plans = []
         for piece in pieces:
-            plan = []
-            for part in self.cut_special.split(piece) if self.cut_special and "<" in piece else [piece]:
-                if part in self.special:
-                    plan.append(self.special[part])
-                elif part:
-                    made = self.symbols(part)
-                    plan.append((len(todo), len(todo) + len(made)))
-                    todo.extend(made)
+            if self.cut_special and "<" in piece:
+                plan: list = []
+                for part in self.cut_special.split(piece):
+                    if part in self.special:
+                        plan.append(self.special[part])
+                    elif part:
+                        plan += self.pre_tokens(part)
+            else:
+                plan = self.pre_tokens(piece)
             plans.append(plan)
-        done = self.index.run(todo)
-        return {p: tuple(chain.from_iterable([x] if isinstance(x, int) else chain.from_iterable(done[x[0] : x[1]]) for x in plan)) for p, plan in zip(pieces, plans, strict=True)}
+        new = list(self.tokens.missing({t for plan in plans for t in plan if t.__class__ is str}))
+        table = self.tokens.young
+        table.update(zip(new, map(tuple, self.index.run([self.symbols(t) for t in new])), strict=True))
+        out = {p: table[plan[0]] if len(plan) == 1 and plan[0].__class__ is str else tuple(chain.from_iterable((x,) if x.__class__ is int else table[x] for x in plan)) for p, plan in zip(pieces, plans, strict=True)}
+        for token in [t for t in new if len(t) > KEPT_CHARS]:
+            del table[token]
+        return out
 
     def encode(self, many: list[str]) -> list[list[tuple[int, ...]]]:
         """For each text the ids of its pieces."""
         cut = [self.cut(t) for t in many]
-        new = set().union(*cut).difference(self.known)
-        if len(self.known) + len(new) > TABLE_PIECES:
-            self.known.clear()
-            new = set().union(*cut)
-        self.known.update(self.learn(list(new)))
-        out = [list(map(self.known.__getitem__, pieces)) for pieces in cut]
+        new = list(self.known.missing(set().union(*cut)))
+        table = self.known.young
+        table.update(self.learn(new))
+        out = [list(map(table.__getitem__, pieces)) for pieces in cut]
         for piece in [p for p in new if len(p) > KEPT_CHARS]:
-            del self.known[piece]
+            del table[piece]
         return out
 
     def decode(self, ids) -> str:

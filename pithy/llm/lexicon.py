@@ -77,3 +77,21 @@ def kind_of(spec: dict) -> str:
 
 def cutter(kind: str):
     return {"words": cut_words, "blanks": cut_blanks, "whole": lambda t: [t] if t else []}[kind]
+
+
+class Table:
+    """A bounded table of two generations: when the young one is full it becomes the old one, and what is used again moves back."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def missing(self, keys: set) -> set:
+        """Keys that must be made; all others are in ``young`` afterwards."""
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+        new = keys.difference(self.young)
+        if self.old and new:
+            again = new.intersection(self.old)
+            self.young.update((k, self.old[k]) for k in again)
+            new -= again
+        return new
