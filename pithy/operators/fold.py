@@ -37,7 +37,7 @@ def arrow_text(fn: Callable, returns: T.DataType, arrow: pa.DataType) -> Callabl
     def one(*columns: Column) -> Column:
         kind = pa.Array if len(columns) == 1 else tuple[(pa.Array,) * len(columns)]
         run.__annotations__ = {"batches": Iterator[kind], "return": Iterator[pa.Array]}
-        return F.arrow_udf(run, returns)(*columns)
+        return F.arrow_udf(run, returns).asNondeterministic()(*columns)  # else the optimizer may copy the call into each use
 
     return one
 
