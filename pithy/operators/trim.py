@@ -49,7 +49,7 @@ def trim_literals(df: DataFrame, text: str, count: str, limit: int, keep: int) -
 
     def short(x):
         inner = F.length(x) - 2
-        cut = F.concat(F.lit('"'), F.substring(x, 2, keep), F.lit("… [+"), (inner - keep).cast("string"), F.lit(' chars]"'))
+        cut = F.concat(F.lit('"'), F.substring(x, F.lit(2), F.least(inner, F.lit(keep))), F.lit("… [+"), (inner - keep).cast("string"), F.lit(' chars]"'))
         return F.when(inner > limit, cut).otherwise(x)
 
     step = step.withColumn("__short", F.transform("__found", short))

@@ -304,11 +304,11 @@ def phrase_fuzzy_dedup(spark, sf):
 
 @query
 def near_pair_candidates(spark, sf):
-    return phrases.candidate_pairs(conversation_text(spark, sf), "doc_id", "text")
+    return phrases.candidate_pairs(docs(spark, sf), "doc_id", "text")
 
 
 ORACLE_SQL["near_pair_candidates"] = f"""
-with {_CONV_LINES},{_PHRASES}, n as (select distinct doc_id, norm, list_distinct(string_split(norm, ' ')) as w, length(norm) as l from normed where length(norm) >= 20)
+with {_DOC_LINES},{_PHRASES}, n as (select distinct doc_id, norm, list_distinct(string_split(norm, ' ')) as w, length(norm) as l from normed where length(norm) >= 20)
 select a.doc_id, a.norm as first, b.norm as second from n a join n b on a.doc_id = b.doc_id and a.norm < b.norm
 where abs(a.l - b.l) / greatest(a.l, b.l)::double <= 1.0::double - 0.9::double
   and len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::double >= 0.8::double"""
@@ -366,13 +366,13 @@ ORACLE_SQL["term_frequency"] = f"with {_SENTENCES} select doc_id, term, sum(tf):
 @query
 def sentence_cosine_edges(spark, sf):
     edges = rank.cosine_edges(docs(spark, sf), "doc_id", "text")
-    return edges.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_edges"), F.sum((F.round("w", 6) * 1000000).cast("long")).alias("millionths"))
+    return edges.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_edges"), F.sum(F.floor(F.col("w") * 1000000 + 0.5)).alias("millionths"))
 
 
 ORACLE_SQL["sentence_cosine_edges"] = f"""
 with {_SENTENCES}, n as (select doc_id, sid, sqrt(sum(tf * tf)::double) as norm from tf group by all),
 e as (select a.doc_id, a.sid as i, b.sid as j, sum(a.tf * b.tf)::double as dot from tf a join tf b on a.doc_id = b.doc_id and a.term = b.term and a.sid < b.sid group by all)
-select e.doc_id, count(*) as n_edges, sum((round(dot / (x.norm * y.norm), 6) * 1000000)::bigint)::bigint as millionths
+select e.doc_id, count(*) as n_edges, sum(floor(dot / (x.norm * y.norm) * 1000000 + 0.5)::bigint)::bigint as millionths
 from e join n x on x.doc_id = e.doc_id and x.sid = i join n y on y.doc_id = e.doc_id and y.sid = j group by e.doc_id"""
 
 
