@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pithy.llm import bpe, decontaminate, html_text, language_id, lexicon, near_dup, quality, suffix_dedup, token_counts, toxicity
-from pithy.llm.tables import table
+from pithy.llm import bpe, decontaminate, html_text, id_files, language_id, lexicon, near_dup, quality, suffix_dedup, token_counts, toxicity
+from pithy.llm.tables import shared_dir, table
 
-WORD_VOCAB, BYTE_VOCAB = "word_bpe_49k.json", "byte_bpe_50k.json"
+WORD_VOCAB, BYTE_VOCAB, END_ID = "word_bpe_49k.json", "byte_bpe_50k.json", 2
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +66,12 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(found)
 
 
+def op9_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/ids"
+    id_files.write_ids(table(spark, sf_dir, "documents").select("doc_id", "text"), path, lexicon.default_path(BYTE_VOCAB), END_ID)
+    return id_files.digest(spark, path)
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.explode("spans").alias("s")).select("doc_id", F.col("s.src").alias("first_doc_id"), F.col("s.start").cast("long").alias("start_word"), F.col("s.end").cast("long").alias("end_word"))
@@ -80,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_counts": op6_token_counts,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_decontaminate": op8_decontaminate,
+    "op9_id_files": op9_id_files,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
