@@ -117,5 +117,38 @@ b as (
     + 64 * (10 * n_bullet_lines > 9 * n_lines)::int + 128 * (10 * n_ellipsis_lines > 5 * n_lines)::int)::bigint as fail_bits
   from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 as base_failed, fail_bits = 0 as kept, fail_bits from b
+""",
+    "op7_near_duplicates": r"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+g as (
+  select distinct doc_id, s from (
+    select doc_id, unnest(case when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda i: concat(w[i], ' ', w[i + 1], ' ', w[i + 2]))
+                               when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from d)),
+n as (select doc_id, count(*) as n from g group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as both_n from g a join g b on a.s = b.s and a.doc_id < b.doc_id group by all),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * both_n >= 85 * (x.n + y.n - both_n)),
+e as (select a, b from l union all select b, a from l),
+r as (select doc_id, doc_id as other from documents union select r.doc_id, e.b from r join e on e.a = r.other),
+c as (select doc_id, min(other) as component_id from r group by doc_id)
+select c.doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, c.doc_id = component_id as kept from c left join n on n.doc_id = c.doc_id
+""",
+    "op8_decontaminate": r"""
+with d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+i as (
+  select item_id::varchar as item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from benchmark where item_id is not null),
+v as (
+  select distinct item, size, array_to_string(w[p : p + size - 1], ' ') as s from (
+    select item, w, least(10, len(w)) as size, unnest(range(1, greatest(2, len(w) - 8))) as p from i where len(w) > 0)),
+k as (select distinct size from v),
+x as (select doc_id, w, size, unnest(range(1, len(w) - size + 2)) as p from d, k where len(w) >= size),
+h as (select x.doc_id, x.p, x.size, v.item from x join v on v.size = x.size and v.s = array_to_string(x.w[x.p : x.p + x.size - 1], ' ')),
+c as (select doc_id, count(distinct q) as n_hit from (select doc_id, unnest(range(p, p + size)) as q from h) group by doc_id),
+t as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item from h) group by doc_id)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+       sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join c on c.doc_id = d.doc_id left join t on t.doc_id = d.doc_id
 """,
 }
