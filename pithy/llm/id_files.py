@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pithy.llm.arrow import text_column, texts
+from pithy.llm.arrow import release, text_column, texts
 from pithy.llm.lexicon import Table, cutter, load
 
 BLOCK = 4096
@@ -50,8 +50,10 @@ EDGES = np.array([0, 64, 128, 256, 512, 1024, 2048, 4096, 8192, 12288, 16384, 24
 BITS = np.concatenate([[0, 0], np.log2(np.diff(EDGES)).astype(np.int64)])
 FIRST = np.concatenate([[0, 0], EDGES[:-1]])
 TOTAL, LEAST, RATE = 15, 48, 5
-_STEP = np.arange(1, 16)
+_STEP = np.arange(17)
+#: Bounds of the 16 symbols (17 numbers) that a distribution moves towards when it has seen a symbol.
 _TARGET = np.where(_STEP[None] <= np.arange(16)[:, None], LEAST * _STEP[None], (1 << TOTAL) - LEAST * (16 - _STEP[None])).astype(np.int32)
+_RANGE = np.searchsorted(EDGES, np.arange(EDGES[-1]), side="right").astype(np.int64)  # 1 to 14
 _U = np.uint64
 _LOW, _TOP = _U(0xFFFFFFFF), _U(1 << 32)
 
@@ -71,15 +73,14 @@ class Model:
         self.base = np.arange(lanes, dtype=np.int64)
 
     def predict(self, k: int) -> np.ndarray:
-        """Inner bounds of the 16 symbols for the first k lanes."""
+        """Bounds of the 16 symbols for the first k lanes."""
         base, p1, p2 = self.base[:k], self.p1[:k], self.p2[:k]
         self.i1 = base * SLOTS + (((p1 * 0x9E3779B1) >> 15) & (SLOTS - 1))
         self.i2 = base * SLOTS + (((p1 * 0x9E3779B1 + p2 * 0x85EBCA6B + 0x27D4EB2F) >> 15) & (SLOTS - 1))
         v1, v2 = self.t1[self.i1], self.t2[self.i2]
         self.g1, self.g2 = (v1 >> 2) - 1, (v2 >> 2) - 1
         self.c1, self.c2 = v1 & 3, v2 & 3
-        near = np.searchsorted(EDGES, p1, side="right")  # 1 to 14
-        self.r1 = base * 64 + near * 4 + self.c1
+        self.r1 = base * 64 + _RANGE[p1] * 4 + self.c1
         self.r2 = base * 32 + self.c2 * 8 + self.c1 * 2 + (self.g1 == self.g2)
         self.d0, self.d1, self.d2 = self.m0[:k], self.m1[self.r1], self.m2[self.r2]
         skill = self.skill[:, :k]
@@ -88,19 +89,17 @@ class Model:
         return (self.d0 * w0 + self.d1 * w1 + self.d2 * (256 - w0 - w1)) >> 8
 
     def symbol(self, ids: np.ndarray) -> np.ndarray:
-        s = np.searchsorted(EDGES, ids, side="right") + 1
+        s = _RANGE[ids] + 1
         s[ids == self.g1] = 1
         s[ids == self.g2] = 0
         return s
 
     def update(self, k: int, ids: np.ndarray, sym: np.ndarray) -> None:
-        lane = np.arange(k)
-        up, down = np.minimum(sym, 14), np.maximum(sym - 1, 0)
+        at = self.base[:k] * 17 + sym
         for n, d in enumerate((self.d0, self.d1, self.d2)):
-            hi = np.where(sym == 15, 1 << TOTAL, d[lane, up])
-            lo = np.where(sym == 0, 0, d[lane, down])
+            flat = d.reshape(-1)
             s = self.skill[n, :k]
-            s += ((hi - lo) - s) >> 5
+            s += (flat[at + 1] - flat[at] - s) >> 5
             np.maximum(s, 64, out=s)
         goal = _TARGET[sym]
         self.m1[self.r1] = self.d1 + ((goal - self.d1) >> RATE)
@@ -113,11 +112,10 @@ class Model:
         self.p1[:k] = ids
 
 
-def _bounds(inner: np.ndarray, sym: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    lane = np.arange(len(sym))
-    lo = np.where(sym == 0, 0, inner[lane, np.maximum(sym - 1, 0)])
-    hi = np.where(sym == 15, 1 << TOTAL, inner[lane, np.minimum(sym, 14)])
-    return lo.astype(np.uint64), (hi - lo).astype(np.uint64)
+def _bounds(bounds: np.ndarray, sym: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    flat, at = bounds.reshape(-1), np.arange(0, 17 * len(sym), 17) + sym
+    lo = flat[at]
+    return lo.astype(np.uint64), (flat[at + 1] - lo).astype(np.uint64)
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
@@ -185,7 +183,7 @@ def decode_blocks(payloads: list[bytes], lens: np.ndarray) -> list[np.ndarray]:
         inner = model.predict(k)
         part = rng[:k] >> _U(TOTAL)
         place = np.minimum(rest[:k] // part, _U((1 << TOTAL) - 1)).astype(np.int32)
-        sym = (inner <= place[:, None]).sum(1)
+        sym = (inner[:, 1:16] <= place[:, None]).sum(1)
         lo, size = _bounds(inner, sym)
         rest[:k] -= part * lo
         part *= size
@@ -278,6 +276,8 @@ def _writer(vocab: str, end_id: int):
                     yield from flush(False)
         yield from flush(True)
 
+        release()
+
     return run
 
 
@@ -316,6 +316,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield emit(flush())
     if held:
         yield emit(flush())
+    release()
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
