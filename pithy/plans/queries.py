@@ -510,12 +510,12 @@ def stage_report(spark, sf):
 
 ORACLE_SQL["stage_report"] = f"""
 with {_noise_sql(_DOC_LINES, NoiseConfig())},
-a as (select doc_id, length(text) as n0 from documents where text is not null),
-b as (select doc_id, sum(length(line)) + count(*) - 1 as n1 from coded where code is null group by doc_id),
+n0s as (select doc_id, length(text) as n0 from documents where text is not null),
+n1s as (select doc_id, sum(length(line)) + count(*) - 1 as n1 from coded where code is null group by doc_id),
 s as (select doc_id, pos, line, {_STRIP("line")} as k from coded where code is null),
 c as (select *, row_number() over (partition by doc_id, k order by pos) as r from s),
-d as (select doc_id, sum(case when k = '' then 0 else length(line) end) + count(*) - 1 as n2 from c where r = 1 or k = '' group by doc_id),
-e as (select a.doc_id, n0::bigint as n0, coalesce(n1, 0)::bigint as n1, coalesce(n2, 0)::bigint as n2 from a left join b on a.doc_id = b.doc_id left join d on a.doc_id = d.doc_id)
+n2s as (select doc_id, sum(case when k = '' then 0 else length(line) end) + count(*) - 1 as n2 from c where r = 1 or k = '' group by doc_id),
+e as (select n0s.doc_id, n0::bigint as n0, coalesce(n1, 0)::bigint as n1, coalesce(n2, 0)::bigint as n2 from n0s left join n1s on n0s.doc_id = n1s.doc_id left join n2s on n0s.doc_id = n2s.doc_id)
 select doc_id, 'noise' as stage, n0 as chars_before, n1 as chars_after from e union all select doc_id, 'redundancy', n1, n2 from e"""
 
 
