@@ -29,7 +29,7 @@ from pithy.llm.arrow import map_slices, struct_array, struct_type, text_column,
 from pithy.llm.lexicon import Table, cutter, kind_of
 
 #: Pieces and pre-tokens kept with their ids in each generation of a worker's tables.
-TABLE_PIECES, TABLE_TOKENS = 150_000, 200_000
+TABLE_PIECES, TABLE_TOKENS = 80_000, 100_000
 KEPT_CHARS = 64
 #: Letters that are composed, stay one letter in lower case and form one pre-token, with ASCII marks behind them.
 _LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
@@ -194,13 +194,16 @@ def ids_array(rows: list[list[tuple[int, ...]]]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)), pa.array(flat))
 
 
-def _held(vocab: str):
-    held: dict = {}
+#: One encoder for each vocabulary in a worker; it lives across tasks, and so do its tables.
+_HELD: dict[str, Bpe] = {}
+
 
+def _held(vocab: str):
     def bpe() -> Bpe:
-        if "bpe" not in held:
-            held["bpe"] = Bpe(vocab)
-        return held["bpe"]
+        if vocab not in _HELD:
+            _HELD.clear()
+            _HELD[vocab] = Bpe(vocab)
+        return _HELD[vocab]
 
     return bpe
 
