@@ -7,6 +7,9 @@ is needed afterwards. Texts cross as bytes, so that invalid UTF-8 is replaced an
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -16,6 +19,8 @@ from pyspark.sql import types as T
 
 #: Rows of a batch that are held as Python objects at a time.
 SLICE_ROWS = 256
+#: Bytes of an Arrow batch between the JVM and a worker: rows of long texts come in smaller batches.
+BATCH_BYTES = 8 << 20
 
 
 def slices(arr: pa.Array, rows: int = SLICE_ROWS) -> Iterator[pa.Array]:
@@ -34,6 +39,14 @@ def texts(arr: pa.Array) -> list[str]:
     return [b.decode("utf-8", "replace") if b else "" for b in raw(arr)]
 
 
+def release() -> None:
+    """Gives memory that is free back to the system; workers outlive tasks, and other operators run in them next."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def with_struct(df: DataFrame, value: Column, fields: dict[str, str], drop: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with the fields {new name: field of the struct column ``value``}.
 
@@ -41,6 +54,7 @@ def with_struct(df: DataFrame, value: Column, fields: dict[str, str], drop: tupl
     """
     gone = {name.lower() for name in (*fields, *drop)}
     tmp = "__pithy_struct"
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in gone and c != tmp]
     step = df.select(*kept, value.alias(tmp))
     return step.select(*kept, *[F.col(f"{tmp}.{field}").alias(name) for name, field in fields.items()])
@@ -57,6 +71,8 @@ def map_slices(fn: Callable[[pa.Array], pa.Array], returns: T.DataType, init: Ca
         for batch in batches:
             out = [fn(part, state) if init else fn(part) for part in slices(batch)]
             yield pa.concat_arrays(out) if out else pa.array([], type=_arrow(returns))
+        del state
+        release()
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, returns)

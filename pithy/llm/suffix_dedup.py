@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pithy.llm.arrow import map_slices, raw, struct_array, struct_type, text_column, with_struct
+from pithy.llm.arrow import map_slices, raw, release, struct_array, struct_type, text_column, with_struct
 from pithy.llm.near_dup import Shingler, mix
 from pithy.llm.tables import shared_dir, with_class, written
 
@@ -99,6 +99,8 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     out[3].append(i)
                     out[4].append(p)
             yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(out, kinds, strict=True)], names=names)
+    del shingler
+    release()
 
 
 def _matrix(values: list[bytes], wide: int) -> tuple[np.ndarray, np.ndarray]:
@@ -257,6 +259,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = [("match", i, a, b, s, None, None, None, None) for i, a, b, s in found] + [("edge", i, None, None, None, g, x, y, p) for g, x, y, i, p in edge]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+    release()
 
 
 def _merged(spans: pa.Array) -> pa.Array:
