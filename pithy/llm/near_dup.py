@@ -8,15 +8,18 @@
    group of copies of any size becomes one row before the shuffle).
 3. ``BANDS`` bands of compressed registers are hashed. Within a band's bucket every member is paired
    with one centre, drawn by a hash for each bucket, never with all the others.
-4. Pairs pass if the Jaccard estimate from the registers, corrected for accidental agreement of
-   compressed registers, is within ``MARGIN`` of the threshold, and are confirmed on the full sets.
+4. Pairs pass if two Jaccard estimates are within their margins of the threshold: one from the
+   registers, corrected for accidental agreement of compressed registers, and one from ``FINE`` more
+   buckets of which four mantissa bits are kept. Pairs that pass are confirmed on the full sets.
 5. Confirmed links make components. Buckets that hold more than one component are finished exactly:
-   their members are dealt into blocks, every pair of blocks is compared on sketches inside one task,
-   pairs of different components that pass are confirmed as before, and components are joined.
+   their members are dealt into blocks and every pair of blocks is compared on sketches inside one
+   task. First only the best pairs that would join all components of the two blocks (a spanning
+   forest) are confirmed; then, with the components that makes, all pairs of different components
+   that pass. A pair leaves a task only in the first band that its members share.
 
 So every pair that shares a band either ends in one component or has been compared. A pair at the
-threshold misses all bands with a probability of about (1 - 0.85^5)^32 = 7e-9; a pair above the
-threshold fails the estimate's margin of five standard deviations with less than 1e-6.
+threshold misses all bands with a probability of about (1 - 0.85^5)^32 = 7e-9, and fails an
+estimate's margin (about five standard deviations each) with less than 1e-6.
 
 Defined cases: A-Z are lower-cased on bytes; words are split at bytes 0x09-0x0D and 0x20; a text with
 one or two words is one shingle; null, empty and wordless texts have no shingle and stay alone.
@@ -32,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pithy.llm.arrow import map_slices, raw, struct_array, struct_type, text_column, with_struct
+from pithy.llm.arrow import map_slices, raw, release, struct_array, struct_type, text_column, with_struct
 from pithy.llm.components import connected
 from pithy.llm.tables import shared_dir, with_class, written
 
@@ -40,12 +43,15 @@ SHINGLE = 3
 REGISTERS, MANTISSA = 160, 10
 BANDS, ROWS = 32, 5
 THRESHOLD_PERCENT = 85
-MARGIN = 0.14
+FINE = 1024
+MARGIN, FINE_MARGIN = 0.14, 0.075
 BLOCK = 256
 TABLE_WORDS = 200_000
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _U = np.uint64
+#: Bytes of a sketch: 16 bits for each register, then 4 bits for each fine bucket.
+COARSE_BYTES, SKETCH_BYTES = 2 * REGISTERS, 2 * REGISTERS + FINE // 2
 SKETCH = struct_type(n_shingles=T.LongType(), h1=T.LongType(), h2=T.LongType(), sketch=T.BinaryType())
 
 
@@ -86,12 +92,33 @@ class Shingler:
         return np.unique(s)
 
 
-def _probes() -> np.ndarray:
-    rng = np.random.default_rng(20240611)
-    return np.stack([rng.permutation(REGISTERS) for _ in range(REGISTERS)])
+def _probes(n: int) -> np.ndarray:
+    """For each bucket a fixed random order of buckets to borrow from."""
+    rng = np.random.default_rng(20240611 + n)
+    return np.stack([rng.permutation(n)[:256] for _ in range(n)])
 
 
-_PROBES = _probes()
+_PROBES = {n: _probes(n) for n in (REGISTERS, FINE)}
+
+
+def buckets_of(shingles: np.ndarray, n: int) -> np.ndarray:
+    """The smallest value of each of n buckets; empty ones borrow."""
+    least = np.full(n, np.iinfo(np.uint64).max, np.uint64)
+    bucket = (shingles % _U(n)).astype(np.int64)
+    np.minimum.at(least, bucket, mix(shingles ^ _U(0xD6E8FEB86659FD93 + n)))
+    full = np.zeros(n, bool)
+    full[bucket] = True
+    empty = np.flatnonzero(~full)
+    if len(empty):
+        order = _PROBES[n][empty]
+        hit = full[order]
+        found = least[order[np.arange(len(empty)), hit.argmax(1)]]
+        some = np.flatnonzero(full)
+        far = ~hit.any(1)  # very small sets: any filled bucket, by a hash
+        if far.any():
+            found[far] = least[some[(mix(empty[far].astype(np.uint64)) % _U(len(some))).astype(np.int64)]]
+        least[empty] = found
+    return least
 
 
 def compress(value: np.ndarray) -> np.ndarray:
@@ -108,17 +135,13 @@ def compress(value: np.ndarray) -> np.ndarray:
 
 def sketch_of(shingles: np.ndarray) -> np.ndarray:
     """Densified registers of a set that isn't empty."""
-    least = np.full(REGISTERS, np.iinfo(np.uint64).max, np.uint64)
-    bucket = (shingles % _U(REGISTERS)).astype(np.int64)
-    np.minimum.at(least, bucket, mix(shingles ^ _U(0xD6E8FEB86659FD93)))
-    full = np.zeros(REGISTERS, bool)
-    full[bucket] = True
-    regs = compress(least)
-    empty = np.flatnonzero(~full)
-    if len(empty):
-        order = _PROBES[empty]
-        regs[empty] = regs[order[np.arange(len(empty)), full[order].argmax(1)]]
-    return regs
+    return compress(buckets_of(shingles, REGISTERS))
+
+
+def fine_of(shingles: np.ndarray) -> np.ndarray:
+    """Two fine buckets to a byte."""
+    four = (buckets_of(shingles, FINE) & _U(15)).astype(np.uint8)
+    return four[::2] << 4 | four[1::2]
 
 
 def chance(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
@@ -153,7 +176,7 @@ def _sketch_slice(part: pa.Array, shingler: Shingler) -> pa.Array:
         one, two = (int(mix(s + _U(k)).sum(dtype=np.uint64)) if len(s) else 0 for k in (11, 13))
         h1.append(one - (1 << 64) if one >> 63 else one)
         h2.append(two - (1 << 64) if two >> 63 else two)
-        out.append(sketch_of(s).tobytes() if len(s) else None)
+        out.append(sketch_of(s).tobytes() + fine_of(s).tobytes() if len(s) else None)
     return struct_array(SKETCH, n, h1, h2, out)
 
 
@@ -177,6 +200,8 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                         last, held = x, shingler.shingles(x)
                     out.append(linked(held, shingler.shingles(y)))
             yield pa.array(out, type=pa.bool_())
+        del shingler
+        release()
 
     from collections.abc import Iterator
 
@@ -184,47 +209,81 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return side.select("a", "b", F.arrow_udf(run, T.BooleanType())("ta", "tb").alias("ok")).where("ok").select("a", "b")
 
 
-def _estimates(sa: list, sb: list, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    a = np.frombuffer(b"".join(sa), np.uint16).reshape(-1, REGISTERS)
-    b = np.frombuffer(b"".join(sb), np.uint16).reshape(-1, REGISTERS)
-    return estimate((a == b).mean(1), na, nb)
+_SAME = np.array([(x >> 4 == 0) * 1 + (x & 15 == 0) * 1 for x in range(256)], np.uint8)
+
+
+class Sketches:
+    """Sketches of some sets, compared in numpy."""
+
+    def __init__(self, sketches: list[bytes], n: np.ndarray):
+        self.n = n.astype(float)
+        whole = np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, SKETCH_BYTES)
+        self.regs = np.ascontiguousarray(whole[:, :COARSE_BYTES]).view(np.uint16)
+        self.fine = whole[:, COARSE_BYTES:]
+
+    def pass_with(self, i: np.ndarray, other: Sketches, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the pairs (i of these, j of the others) pass, and their fine estimates."""
+        coarse = estimate((self.regs[i] == other.regs[j]).mean(1), self.n[i], other.n[j])
+        same = _SAME[self.fine[i] ^ other.fine[j]].sum(1) / FINE
+        fine = (same - 1 / 16) / (1 - 1 / 16)
+        goal = THRESHOLD_PERCENT / 100
+        return (coarse >= goal - MARGIN) & (fine >= goal - FINE_MARGIN), fine
 
 
 def passing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose estimate is within the margin of the threshold."""
+    """Pairs (a, b) whose estimates are within the margins."""
     side = lambda k: nodes.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
 
     def run(sa: pa.Array, sb: pa.Array, na: pa.Array, nb: pa.Array) -> pa.Array:
         if not len(sa):
             return pa.array([], type=pa.bool_())
-        est = _estimates(sa.to_pylist(), sb.to_pylist(), na.to_numpy().astype(float), nb.to_numpy().astype(float))
-        return pa.array(est >= THRESHOLD_PERCENT / 100 - MARGIN)
+        both = np.arange(len(sa))
+        a, b = Sketches(sa.to_pylist(), na.to_numpy()), Sketches(sb.to_pylist(), nb.to_numpy())
+        return pa.array(a.pass_with(both, b, both)[0])
 
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", F.arrow_udf(run, T.BooleanType())("sa", "sb", "na", "nb").alias("ok")).where("ok").select("a", "b")
 
 
 def buckets(nodes: DataFrame) -> DataFrame:
-    """(bucket, id) of each band of each sketch."""
+    """(bucket, band, id) of each band of each sketch."""
     width = 2 * ROWS
-    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.col("sketch").substr(k * width + 1, F.lit(width)))))
-    return nodes.select("id", band.alias("bucket"))
-
-
-def _across(part_a: pa.Array, part_b: pa.Array) -> pa.Array:
-    """For two lists of members (id, comp, n, sketch): pairs of different components that pass the estimate."""
-    kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-    out = []
-    for xs, ys in zip(part_a.to_pylist(), part_b.to_pylist(), strict=True):
-        a, b = (np.frombuffer(b"".join(m["sketch"] for m in ms), np.uint16).reshape(-1, REGISTERS) for ms in (xs, ys))
-        ia, ib, ca, cb, na, nb = (np.array([m[k] for m in ms]) for k in ("id", "comp", "n") for ms in (xs, ys))
-        found = []
-        for i in range(len(xs)):
-            ok = np.flatnonzero((cb != ca[i]) & (ib > ia[i]) if xs is ys else (cb != ca[i]))
-            if len(ok):
-                est = estimate((b[ok] == a[i]).mean(1), np.full(len(ok), float(na[i])), nb[ok].astype(float))
-                found += [{"a": int(min(ia[i], y)), "b": int(max(ia[i], y))} for y in ib[ok[est >= THRESHOLD_PERCENT / 100 - MARGIN]]]
-        out.append(found)
-    return pa.array(out, type=kind)
+    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring("sketch", k * width + 1, F.lit(width))))
+    return nodes.select("id", F.posexplode(keys).alias("band", "bucket"))
+
+
+def across(xs: list[dict], ys: list[dict], band: int, forest: bool) -> list[dict]:
+    """Pairs of different components that pass, among the members (id, comp, n, sketch) of two blocks or of one (xs is ys).
+
+    ``forest``: only the best pairs that join the components met here.
+    """
+    a, b = (Sketches([m["sketch"] for m in ms], np.array([m["n"] for m in ms])) for ms in (xs, ys))
+    ia, ib, ca, cb = (np.array([m[k] for m in ms]) for k in ("id", "comp") for ms in (xs, ys))
+    pairs = []
+    for i in range(len(xs)):
+        j = np.flatnonzero((cb != ca[i]) & (ib > ia[i]) if xs is ys else cb != ca[i])
+        if len(j):
+            same = (b.regs[j] == a.regs[i]).reshape(len(j), BANDS, ROWS).all(2)
+            j = j[same.argmax(1) == band]
+        if len(j):
+            ok, est = a.pass_with(np.full(len(j), i), b, j)
+            pairs += [(-e, i, k) for e, k in zip(est[ok].tolist(), j[ok].tolist(), strict=True)]
+    if forest:
+        top: dict[int, int] = {}
+
+        def root(c):
+            while top.get(c, c) != c:
+                top[c] = top.get(top[c], top[c])
+                c = top[c]
+            return c
+
+        best = []
+        for pair in sorted(pairs):
+            x, y = root(int(ca[pair[1]])), root(int(cb[pair[2]]))
+            if x != y:
+                top[x] = y
+                best.append(pair)
+        pairs = best
+    return [{"a": int(min(ia[i], ib[k])), "b": int(max(ia[i], ib[k]))} for _, i, k in pairs]
 
 
 def classes(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -236,6 +295,36 @@ def classes(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: s
     return all_, nodes
 
 
+def finish(members: DataFrame, nodes: DataFrame, texts: DataFrame, known: DataFrame, tried: DataFrame, folder: str, forest: bool) -> tuple[DataFrame, DataFrame]:
+    """Compares what is left in buckets with several components; returns (id, comp) of all linked nodes, and all pairs tried."""
+    now = written(members.join(known, "id", "left").select("bucket", "band", "size", "id", F.coalesce("comp", "id").alias("comp")), f"{folder}/now")
+    open_ = written(now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket"), f"{folder}/open")
+    rest = written(now.join(open_, "bucket"), f"{folder}/rest").join(nodes.select("id", "n", "sketch"), "id")
+    dealt = rest.withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / BLOCK)))
+    blocks = written(dealt.groupBy("bucket", "band", "block").agg(F.collect_list(F.struct("id", "comp", "n", "sketch")).alias("m")), f"{folder}/blocks")
+    other = blocks.select("bucket", F.col("block").alias("block2"), F.col("m").alias("m2"))
+    kind = T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
+    arrow = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+
+    def run(part_a: pa.Array, part_b: pa.Array, band: pa.Array, one: pa.Array) -> pa.Array:
+        out = []
+        for k in range(len(part_a)):
+            xs = part_a[k].as_py()
+            out.append(across(xs, xs if one[k].as_py() else part_b[k].as_py(), band[k].as_py(), forest))
+        return pa.array(out, type=arrow)
+
+    met = blocks.join(other, "bucket").where("block <= block2")
+    pairs = met.select(F.explode(F.arrow_udf(run, kind)("m", "m2", "band", F.col("block") == F.col("block2"))).alias("p")).select("p.a", "p.b").distinct()
+    more = written(pairs.join(tried, ["a", "b"], "left_anti"), f"{folder}/tried")
+    links = written(confirm(more, texts), f"{folder}/links")
+    up = lambda k: known.select(F.col("id").alias(k), F.col("comp").alias(f"c{k}"))
+    lifted = links.join(up("a"), "a", "left").join(up("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct()
+    above = connected(lifted, f"{folder}/cc")
+    joined = known.unionByName(above.join(known.select("id"), "id", "left_anti").select("id", F.col("id").alias("comp")))
+    final = joined.join(above.select(F.col("id").alias("comp"), F.col("comp").alias("top")), "comp", "left").select("id", F.coalesce("top", "comp").alias("comp"))
+    return written(final, f"{folder}/final"), tried.unionByName(more)
+
+
 def components(nodes: DataFrame, texts: DataFrame, folder: str) -> DataFrame:
     """(id, comp) for each class that is linked with another; texts: (id, text) of all documents."""
     of_bucket = buckets(nodes)
@@ -243,28 +332,11 @@ def components(nodes: DataFrame, texts: DataFrame, folder: str) -> DataFrame:
     full = written(of_bucket.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(draw)["id"].alias("centre")).where("size > 1"), f"{folder}/buckets")
     members = written(of_bucket.join(full, "bucket"), f"{folder}/members")
     star = members.where("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-    tried = written(passing(written(star, f"{folder}/star"), nodes), f"{folder}/tried1")
-    links = written(confirm(tried, texts), f"{folder}/links1")
-    first = connected(links, f"{folder}/cc1")
-    # buckets of three or more members that still hold several components
-    now = written(members.where("size > 2").join(first, "id", "left").select("bucket", "size", "id", F.coalesce("comp", "id").alias("comp")), f"{folder}/now")
-    open_ = written(now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket"), f"{folder}/open")
-    rest = written(now.join(open_, "bucket"), f"{folder}/rest").join(nodes.select("id", "n", "sketch"), "id")
-    blocks = rest.withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / BLOCK))).groupBy("bucket", "block").agg(F.collect_list(F.struct("id", "comp", "n", "sketch")).alias("m"))
-    blocks = written(blocks, f"{folder}/blocks")
-    other = blocks.select("bucket", F.col("block").alias("block2"), F.col("m").alias("m2"))
-    found = T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
-    _across.__annotations__ = {"part_a": pa.Array, "part_b": pa.Array, "return": pa.Array}
-    pairs = blocks.join(other, "bucket").where("block <= block2").select(F.explode(F.arrow_udf(_across, found)("m", "m2")).alias("p")).select("p.a", "p.b").where("a <> b").distinct()
-    more = written(pairs.join(tried, ["a", "b"], "left_anti"), f"{folder}/tried2")
-    links2 = written(confirm(more, texts), f"{folder}/links2")
-    known = first.select("id", "comp")
-    up = lambda k: known.select(F.col("id").alias(k), F.col("comp").alias(f"c{k}"))
-    lifted = links2.join(up("a"), "a", "left").join(up("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b")
-    second = connected(lifted, f"{folder}/cc2")
-    joined = known.select("id", "comp").unionByName(second.join(known.select("id"), "id", "left_anti").select("id", F.col("id").alias("comp")))
-    final = joined.join(second.select(F.col("id").alias("comp"), F.col("comp").alias("top")), "comp", "left").select("id", F.coalesce("top", "comp").alias("comp"))
-    return written(final, f"{folder}/final")
+    tried = written(passing(written(star, f"{folder}/star"), nodes), f"{folder}/tried")
+    known = connected(written(confirm(tried, texts), f"{folder}/links"), f"{folder}/cc").select("id", "comp")
+    large = members.where("size > 2").drop("centre")
+    known, tried = finish(large, nodes, texts, known, tried, f"{folder}/forest", True)
+    return finish(large, nodes, texts, known, tried, f"{folder}/rest", False)[0]
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
