@@ -43,8 +43,8 @@ SHINGLE = 3
 REGISTERS, MANTISSA = 160, 10
 BANDS, ROWS = 32, 5
 THRESHOLD_PERCENT = 85
-FINE = 1024
-MARGIN, FINE_MARGIN = 0.14, 0.075
+FINE = 2048
+MARGIN, FINE_MARGIN = 0.14, 0.0625
 BLOCK = 256
 TABLE_WORDS = 200_000
 
@@ -95,7 +95,7 @@ class Shingler:
 def _probes(n: int) -> np.ndarray:
     """For each bucket a fixed random order of buckets to borrow from."""
     rng = np.random.default_rng(20240611 + n)
-    return np.stack([rng.permutation(n)[:256] for _ in range(n)])
+    return np.stack([rng.permutation(n)[:256] for _ in range(n)]).astype(np.int16)
 
 
 _PROBES = {n: _probes(n) for n in (REGISTERS, FINE)}
@@ -108,17 +108,21 @@ def buckets_of(shingles: np.ndarray, n: int) -> np.ndarray:
     np.minimum.at(least, bucket, mix(shingles ^ _U(0xD6E8FEB86659FD93 + n)))
     full = np.zeros(n, bool)
     full[bucket] = True
-    empty = np.flatnonzero(~full)
-    if len(empty):
-        order = _PROBES[n][empty]
-        hit = full[order]
-        found = least[order[np.arange(len(empty)), hit.argmax(1)]]
-        some = np.flatnonzero(full)
-        far = ~hit.any(1)  # very small sets: any filled bucket, by a hash
-        if far.any():
-            found[far] = least[some[(mix(empty[far].astype(np.uint64)) % _U(len(some))).astype(np.int64)]]
-        least[empty] = found
-    return least
+    empty, filled = np.flatnonzero(~full), least.copy()
+    for turn in range(_PROBES[n].shape[1]):
+        if not len(empty):
+            break
+        place = _PROBES[n][empty, turn]
+        hit = full[place]
+        filled[empty[hit]] = least[place[hit]]
+        empty = empty[~hit]
+    if len(empty):  # small sets: the shingle that is least for this bucket, which equal shingles choose alike
+        value = mix(shingles ^ _U(0xD6E8FEB86659FD93 + n))
+        for at in range(0, len(empty), 256):
+            some = empty[at : at + 256]
+            draw = mix(shingles[:, None] + mix(some.astype(np.uint64) + _U(n))[None])
+            filled[some] = value[draw.argmin(0)]
+    return filled
 
 
 def compress(value: np.ndarray) -> np.ndarray:
@@ -227,7 +231,8 @@ class Sketches:
         same = _SAME[self.fine[i] ^ other.fine[j]].sum(1) / FINE
         fine = (same - 1 / 16) / (1 - 1 / 16)
         goal = THRESHOLD_PERCENT / 100
-        return (coarse >= goal - MARGIN) & (fine >= goal - FINE_MARGIN), fine
+        wider = 1 + 10 / np.minimum(self.n[i], other.n[j])  # few shingles are drawn again and again
+        return (coarse >= goal - MARGIN) & (fine >= goal - FINE_MARGIN * wider), fine
 
 
 def passing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
