@@ -10,8 +10,10 @@ document in the key no gram, however frequent, must stay in one task. Neighbours
 extended to the right and to the left; a match of ``MIN_WORDS`` words or more is a repeated passage.
 Suffixes in an unbroken run of matches are also compared with the run's first occurrence, and an
 exact check over all windows around a gram catches a partner that is not a neighbour, among the (up
-to ``GROUP``) suffixes of a gram that a task holds together. What remains at the borders of
-partitions is compared once more among a few rows per partition.
+to ``GROUP``) suffixes of a gram that a task holds together. Of a gram that may go on in the next
+partition, each window that can reach over the border (equal windows have equal words to the right,
+so the border's record has them too) leaves the task once, with the first document that has it, and
+the windows of all partitions are grouped.
 
 Of two equal passages the one with the smaller (document, position) stays, so the first occurrence
 of any passage is never cut. Equal whole texts are one class; only the smallest id is sorted, and a
@@ -41,7 +43,7 @@ _U = np.uint64
 
 ANCHORS = struct_type(n_words=T.LongType(), pos=T.ArrayType(T.IntegerType()), gram=T.ArrayType(T.LongType()))
 SUFFIX = "gram long, after binary, before binary, id long, pos int"
-MATCH = "kind string, id long, start int, end int, src long, gram long, after binary, before binary, pos int"
+FOUND = "id long, start int, end int, src long, gram long, window long"
 
 
 def gram_hashes(words: np.ndarray) -> np.ndarray:
@@ -164,12 +166,16 @@ def _prefixes(m: np.ndarray) -> np.ndarray:
     return out
 
 
-def _windows(marks: Marks) -> None:
+def _windows(marks: Marks, reach: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
     """Exact check among records that are at hand together: all windows of MIN_WORDS words around each gram.
 
     A neighbour in the sort has the longest words in common to the right; a record whose neighbours
     have too few to the left may still match one farther away. All windows containing the gram lie
     in one interval, so their union is again one passage.
+
+    ``reach``: how many words to the right a record shares with one at an open border. Yields (id,
+    start, gram, window) of the windows within reach, each as its first document here has it; the
+    others that have it are marked.
     """
     r = marks.recs
     order = np.lexsort((r.pos, r.id))  # then the first of equal windows is the earliest
@@ -178,7 +184,7 @@ def _windows(marks: Marks) -> None:
     for left in range(WINDOW):
         right = MIN_WORDS - left
         ok = np.flatnonzero((n_before >= left) & (n_after >= right))
-        if len(ok) < 2:
+        if not len(ok):
             continue
         key = mix(before[left][ok] ^ gram[ok]) + after[right][ok]
         _, first, of = np.unique(key, return_index=True, return_inverse=True)
@@ -186,39 +192,51 @@ def _windows(marks: Marks) -> None:
         late = ids[head] != ids[ok]
         at = ok[late]
         marks.add(order[at], pos[at] - left, pos[at] + right, ids[head[late]])
+        out = ~late & (reach[order[ok]] >= right)
+        at = ok[out]
+        if len(at):
+            yield ids[at], pos[at] - left, r.gram[order[at]], key[out].view(np.int64)
+
+
+def _reach(recs: Records, low: bool, high: bool) -> np.ndarray:
+    """Words to the right that records share with the first or last one, where the stream may go on beyond it with the same gram."""
+    reach = np.zeros(len(recs.rows), np.int64)
+    for border, is_open in ((0, low), (len(recs.rows) - 1, high)):
+        at = np.flatnonzero(recs.gram == recs.gram[border]) if is_open else np.zeros(0, np.int64)
+        reach[at] = np.maximum(reach[at], recs.common(at, np.full(len(at), border))[1])
+    return reach
 
 
 #: Records that are compared together, and the most of one gram.
 SEGMENT, GROUP = 4096, 1 << 15
 
 
-def segments(batches: Iterator[list[tuple]]) -> Iterator[list[tuple]]:
-    """Rows of a sorted stream, cut between grams where the rows of a gram are at most GROUP."""
+def segments(batches: Iterator[list[tuple]], segment: int = SEGMENT, group: int = GROUP) -> Iterator[tuple[list[tuple], bool, bool]]:
+    """Rows of a sorted stream, cut between grams where the rows of a gram are at most ``group``; and whether the first or the last gram may go on outside the stream."""
     held: list[tuple] = []
+    low = True
     for rows in batches:
         held += rows
-        while len(held) > SEGMENT:
+        while len(held) > segment:
             at = len(held) - 1
             while at > 0 and held[at][0] == held[at - 1][0]:
                 at -= 1
             if at == 0:
-                if len(held) < GROUP:
+                if len(held) < group:
                     break
-                at = GROUP
-            yield held[:at]
-            held = held[at:]
+                at = group
+            if at == len(held):
+                break
+            yield held[:at], low, False
+            held, low = held[at:], False
     if held:
-        yield held
+        yield held, low, True
 
 
-def compare_sorted(batches: Iterator[list[tuple]]) -> Iterator[tuple[list[tuple], list[tuple]]]:
-    """Passages found in a sorted stream of suffix records, and at the end the records at its borders."""
+def compare_sorted(batches: Iterator[list[tuple]], segment: int = SEGMENT, group: int = GROUP) -> Iterator[tuple[list[tuple], Iterator[tuple[np.ndarray, ...]]]]:
+    """Passages (id, start, end, src) found in a sorted stream of suffix records, and windows (id, start, gram, window) that may be found outside it too."""
     last = least = None  # the last record so far, and the first occurrence in the run that it ends
-    edge: list[tuple] = []
-    at_first_run = True
-    for rows in segments(batches):
-        if last is None:
-            edge.append(rows[0])
+    for rows, low, high in segments(batches, segment, group):
         carried = [] if last is None else [least, last]
         recs = Records([*carried, *rows])
         marks = Marks(recs)
@@ -235,19 +253,15 @@ def compare_sorted(batches: Iterator[list[tuple]]) -> Iterator[tuple[list[tuple]
         head = heads[run]
         other = np.flatnonzero(head != np.arange(len(head)))
         marks.pairs(head[other], other, *recs.common(head[other], other))
-        _windows(marks)
-        if at_first_run and run[-1] > 0:
-            edge.append(recs.rows[heads[0]])
-            at_first_run = False
+        open_ = list(_windows(marks, _reach(recs, low, high)))
         last, least = recs.rows[-1], recs.rows[heads[-1]]
-        yield marks.rows(), []
-    if last is not None:
-        yield [], list(dict.fromkeys([*edge, least, last]))
+        yield marks.rows(), open_
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32()]
-    names = [c.split()[0] for c in MATCH.split(", ")]
+def _neighbours(batches: Iterator[pa.RecordBatch], segment: int, group: int) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+    names = [c.split()[0] for c in FOUND.split(", ")]
+    batch_of = lambda cols, n: pa.RecordBatch.from_arrays([pa.nulls(n, k) if c is None else pa.array(c, type=k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
     def rows():
         for batch in batches:
@@ -255,10 +269,11 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 part = batch.slice(at, 4096)
                 yield list(zip(*[part[c].to_pylist() for c in ("gram", "after", "before", "id", "pos")], strict=True))
 
-    for found, edge in compare_sorted(rows()):
-        out = [("match", i, a, b, s, None, None, None, None) for i, a, b, s in found] + [("edge", i, None, None, None, g, x, y, p) for g, x, y, i, p in edge]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+    for found, open_ in compare_sorted(rows(), segment, group):
+        if found:
+            yield batch_of([*zip(*found, strict=True), None, None], len(found))
+        for i, start, gram, window in open_:
+            yield batch_of([i, start.astype(np.int32), (start + MIN_WORDS).astype(np.int32), None, gram, window], len(i))
     release()
 
 
@@ -277,7 +292,7 @@ def _merged(spans: pa.Array) -> pa.Array:
     return pa.array(out, type=spans.type)
 
 
-def passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", segment: int = SEGMENT, group: int = GROUP) -> DataFrame:
     """(id_col, spans, n_words) for each document with passages to cut: spans of words (start, end) with src, a document that has them earlier."""
     spark = docs.sparkSession
     folder = shared_dir(spark)
@@ -291,9 +306,11 @@ def passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     places = written(each.join(again, "gram", "left_semi").groupBy("id").agg(F.sort_array(F.collect_list("pos")).alias("pos")), f"{folder}/places")
     suffixes = written(base.join(places, "id").select("id", "text", "pos").mapInArrow(_suffixes, SUFFIX), f"{folder}/suffixes")
     order = ["gram", "after", "id", "pos"]
-    found = written(suffixes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours, MATCH), f"{folder}/found")
-    border = found.where("kind = 'edge'").select("gram", "after", "before", "id", "pos").coalesce(1).sortWithinPartitions(*order).mapInArrow(_neighbours, MATCH)
-    hits = found.unionByName(border).where("kind = 'match'").select("id", "start", "end", "src")
+    found = written(suffixes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lambda batches: _neighbours(batches, segment, group), FOUND), f"{folder}/found")
+    open_ = found.where("src is null").drop("src")
+    shared = written(open_.groupBy("gram", "window").agg(F.min("id").alias("src"), F.max("id").alias("last")).where("src < last").drop("last"), f"{folder}/shared")
+    beyond = open_.join(shared, ["gram", "window"]).where("id > src")
+    hits = found.where("src is not null").select("id", "start", "end", "src").unionByName(beyond.select("id", "start", "end", "src"))
     span = F.struct("start", "end", "src")
     kind = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("src", T.LongType())]))
     _merged.__annotations__ = {"spans": pa.Array, "return": pa.Array}

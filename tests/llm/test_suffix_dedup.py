@@ -100,3 +100,31 @@ def test_odd_rows(spark):
     more = spark.createDataFrame([(1, long), (2, long.upper()), (None, long), (3, "x"), (4, "x")], "doc_id long, text string")
     assert found(sd.passages(more)) == {2: set(range(60))}
     assert sd.passages(docs.where("false")).count() == 0
+
+
+def with_footer(seed, n=600):
+    """A 20-word footer in most rows; some share the 34 words before it too, and what follows it differs."""
+    rnd = random.Random(seed)
+    some = lambda k: [f"w{rnd.randrange(10**6)}" for _ in range(k)]
+    footer, shared = some(20), [some(34) for _ in range(60)]
+    rows = []
+    for i in range(n):
+        w = some(rnd.randrange(20, 80))
+        if rnd.random() < 0.8:
+            w += (rnd.choice(shared) if rnd.random() < 0.4 else []) + footer + some(rnd.choice((0, 3, 60)))
+        rows.append((i * 7 % 4001, " ".join(w)))
+    return rows
+
+
+def test_grams_across_partitions(spark):
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        for rows in (with_footer(1), planted(4)):
+            got = found(sd.passages(spark.createDataFrame(rows, "doc_id long, text string")))
+            assert got == brute(rows)[0]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
