@@ -6,14 +6,12 @@ smallest hash among its ``GRAM``-word grams is its minimiser (the first if equal
 retained, and of them only those whose gram occurs again anywhere (counted over all documents).
 
 The retained suffixes are range-sorted by (gram, following words, document, position); with the
-document in the key no gram, however frequent, must stay in one task. Neighbours are compared and
-extended to the right and to the left; a match of ``MIN_WORDS`` words or more is a repeated passage.
-Suffixes in an unbroken run of matches are also compared with the run's first occurrence, and an
-exact check over all windows around a gram catches a partner that is not a neighbour, among the (up
-to ``GROUP``) suffixes of a gram that a task holds together. Of a gram that may go on in the next
-partition, each window that can reach over the border (equal windows have equal words to the right,
-so the border's record has them too) leaves the task once, with the first document that has it, and
-the windows of all partitions are grouped.
+document in the key no gram, however frequent, must stay in one task. Of the suffixes of a gram that
+a task holds together (up to ``GROUP``), all windows of ``MIN_WORDS`` words around the gram are
+compared. Where a partition or a group ends and its gram may go on beyond, each window that can reach
+over the border (equal windows have equal words to the right, so the border's record has them too)
+leaves the task once, with the first document that has it, and the windows of all groups are grouped
+by hash. So the result doesn't depend on ``SEGMENT``, ``GROUP`` or the partitions.
 
 Of two equal passages the one with the smaller (document, position) stays, so the first occurrence
 of any passage is never cut. Equal whole texts are one class; only the smallest id is sorted, and a
@@ -122,15 +120,11 @@ class Records:
         self.id = np.array([r[3] for r in rows], np.int64)
         self.pos = np.array([r[4] for r in rows], np.int64)
 
-    def common(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Equal words to the left and to the right of records i and j of equal grams."""
-
-        def lcp(m, n):
-            same = m[i] == m[j]
-            run = np.where(same.all(1), m.shape[1], same.argmin(1)) if len(i) else np.zeros(0, np.int64)
-            return np.minimum(run, np.minimum(n[i], n[j]))
-
-        return lcp(self.before, self.n_before), lcp(self.after, self.n_after)
+    def common(self, i: np.ndarray, border: int) -> np.ndarray:
+        """Equal words to the right of records i and of one more."""
+        same = self.after[i] == self.after[border]
+        run = np.where(same.all(1), MIN_WORDS, same.argmin(1))
+        return np.minimum(run, np.minimum(self.n_after[i], self.n_after[border]))
 
 
 class Marks:
@@ -140,14 +134,6 @@ class Marks:
         n = len(recs.rows)
         self.recs, self.lo, self.hi, self.src = recs, np.full(n, 1 << 40), np.full(n, -1), np.full(n, np.iinfo(np.int64).max)
 
-    def pairs(self, i: np.ndarray, j: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
-        """Marks the later record of each matching pair of different documents."""
-        r = self.recs
-        ok = (left + right >= MIN_WORDS) & (r.id[i] != r.id[j])
-        i, j, left, right = i[ok], j[ok], left[ok], right[ok]
-        late = np.where(r.id[i] > r.id[j], i, j)
-        self.add(late, r.pos[late] - left, r.pos[late] + right, np.minimum(r.id[i], r.id[j]))
-
     def add(self, late, start, end, src) -> None:
         np.minimum.at(self.lo, late, start)
         np.maximum.at(self.hi, late, end)
@@ -169,13 +155,11 @@ def _prefixes(m: np.ndarray) -> np.ndarray:
 def _windows(marks: Marks, reach: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
     """Exact check among records that are at hand together: all windows of MIN_WORDS words around each gram.
 
-    A neighbour in the sort has the longest words in common to the right; a record whose neighbours
-    have too few to the left may still match one farther away. All windows containing the gram lie
-    in one interval, so their union is again one passage.
+    All windows containing the gram lie in one interval, so their union is again one passage.
 
     ``reach``: how many words to the right a record shares with one at an open border. Yields (id,
-    start, gram, window) of the windows within reach, each as its first document here has it; the
-    others that have it are marked.
+    start, end, gram, window) of the windows within reach, each as its first document here has it
+    (places that touch are one); the others that have it are marked.
     """
     r = marks.recs
     order = np.lexsort((r.pos, r.id))  # then the first of equal windows is the earliest
@@ -194,16 +178,22 @@ def _windows(marks: Marks, reach: np.ndarray) -> Iterator[tuple[np.ndarray, ...]
         marks.add(order[at], pos[at] - left, pos[at] + right, ids[head[late]])
         out = ~late & (reach[order[ok]] >= right)
         at = ok[out]
-        if len(at):
-            yield ids[at], pos[at] - left, r.gram[order[at]], key[out].view(np.int64)
+        if not len(at):
+            continue
+        by = np.argsort(key[out], kind="stable")
+        at, key, start = at[by], key[out][by], pos[at[by]] - left
+        cut = np.flatnonzero((key[1:] != key[:-1]) | (start[1:] > start[:-1] + MIN_WORDS))  # a line that repeats overlaps itself
+        head, tail = np.append(0, cut + 1), np.append(cut, len(at) - 1)
+        yield ids[at[head]], start[head], start[tail] + MIN_WORDS, r.gram[order[at[head]]], key[head].view(np.int64)
 
 
 def _reach(recs: Records, low: bool, high: bool) -> np.ndarray:
     """Words to the right that records share with the first or last one, where the stream may go on beyond it with the same gram."""
     reach = np.zeros(len(recs.rows), np.int64)
     for border, is_open in ((0, low), (len(recs.rows) - 1, high)):
-        at = np.flatnonzero(recs.gram == recs.gram[border]) if is_open else np.zeros(0, np.int64)
-        reach[at] = np.maximum(reach[at], recs.common(at, np.full(len(at), border))[1])
+        if is_open:
+            at = np.flatnonzero(recs.gram == recs.gram[border])
+            reach[at] = np.maximum(reach[at], recs.common(at, border))
     return reach
 
 
@@ -212,7 +202,7 @@ SEGMENT, GROUP = 4096, 1 << 15
 
 
 def segments(batches: Iterator[list[tuple]], segment: int = SEGMENT, group: int = GROUP) -> Iterator[tuple[list[tuple], bool, bool]]:
-    """Rows of a sorted stream, cut between grams where the rows of a gram are at most ``group``; and whether the first or the last gram may go on outside the stream."""
+    """Rows of a sorted stream, cut between grams where the rows of a gram are at most ``group``; and whether the first or the last gram may go on outside them."""
     held: list[tuple] = []
     low = True
     for rows in batches:
@@ -227,34 +217,19 @@ def segments(batches: Iterator[list[tuple]], segment: int = SEGMENT, group: int
                 at = group
             if at == len(held):
                 break
-            yield held[:at], low, False
-            held, low = held[at:], False
+            within = held[at - 1][0] == held[at][0]
+            yield held[:at], low, within
+            held, low = held[at:], within
     if held:
         yield held, low, True
 
 
-def compare_sorted(batches: Iterator[list[tuple]], segment: int = SEGMENT, group: int = GROUP) -> Iterator[tuple[list[tuple], Iterator[tuple[np.ndarray, ...]]]]:
-    """Passages (id, start, end, src) found in a sorted stream of suffix records, and windows (id, start, gram, window) that may be found outside it too."""
-    last = least = None  # the last record so far, and the first occurrence in the run that it ends
+def compare_sorted(batches: Iterator[list[tuple]], segment: int = SEGMENT, group: int = GROUP) -> Iterator[tuple[list[tuple], list[tuple[np.ndarray, ...]]]]:
+    """Passages (id, start, end, src) found in a sorted stream of suffix records, and windows (id, start, end, gram, window) that may be found beyond a border too."""
     for rows, low, high in segments(batches, segment, group):
-        carried = [] if last is None else [least, last]
-        recs = Records([*carried, *rows])
+        recs = Records(rows)
         marks = Marks(recs)
-        first = max(1, len(carried))
-        j = np.arange(first, len(recs.rows))
-        left, right = recs.common(j - 1, j)
-        joined = (recs.gram[j - 1] == recs.gram[j]) & (left + right >= MIN_WORDS)
-        marks.pairs((j - 1)[joined], j[joined], left[joined], right[joined])
-        # runs over [least, last, rows...]: the carried records belong to one run
-        run = np.zeros(len(recs.rows), np.int64)
-        run[first:] = np.cumsum(~joined)
-        order = np.lexsort((recs.pos, recs.id, run))
-        heads = order[np.concatenate([[True], run[order][1:] != run[order][:-1]])]
-        head = heads[run]
-        other = np.flatnonzero(head != np.arange(len(head)))
-        marks.pairs(head[other], other, *recs.common(head[other], other))
         open_ = list(_windows(marks, _reach(recs, low, high)))
-        last, least = recs.rows[-1], recs.rows[heads[-1]]
         yield marks.rows(), open_
 
 
@@ -265,15 +240,15 @@ def _neighbours(batches: Iterator[pa.RecordBatch], segment: int, group: int) ->
 
     def rows():
         for batch in batches:
-            for at in range(0, len(batch), 4096):
-                part = batch.slice(at, 4096)
+            for at in range(0, len(batch), segment):
+                part = batch.slice(at, segment)
                 yield list(zip(*[part[c].to_pylist() for c in ("gram", "after", "before", "id", "pos")], strict=True))
 
     for found, open_ in compare_sorted(rows(), segment, group):
         if found:
             yield batch_of([*zip(*found, strict=True), None, None], len(found))
-        for i, start, gram, window in open_:
-            yield batch_of([i, start.astype(np.int32), (start + MIN_WORDS).astype(np.int32), None, gram, window], len(i))
+        for i, start, end, gram, window in open_:
+            yield batch_of([i, start.astype(np.int32), end.astype(np.int32), None, gram, window], len(i))
     release()
 
 

@@ -112,6 +112,8 @@ def with_footer(seed, n=600):
         w = some(rnd.randrange(20, 80))
         if rnd.random() < 0.8:
             w += (rnd.choice(shared) if rnd.random() < 0.4 else []) + footer + some(rnd.choice((0, 3, 60)))
+        elif rnd.random() < 0.5:
+            w += footer * rnd.randrange(2, 9) + some(3)
         rows.append((i * 7 % 4001, " ".join(w)))
     return rows
 
@@ -128,3 +130,14 @@ def test_grams_across_partitions(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_grams_of_many_records(spark):
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+        for rows in (with_footer(1), planted(5)):
+            docs = spark.createDataFrame(rows, "doc_id long, text string")
+            assert found(sd.passages(docs, segment=8, group=16)) == brute(rows)[0]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
