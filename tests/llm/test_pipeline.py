@@ -51,3 +51,16 @@ def test_odd_rows(spark):
     rows = docs.collect()
     assert len({r.doc_id for r in rows}) == len(rows) == 14
     assert corpus_pipeline.identify_language(spark, odd_docs(spark).withColumn("lang", F.lit(None).cast("string")), SF).count() == 0
+
+
+def test_cut_stage_exactly(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("text is not null")
+    after = {r.doc_id: r.text for r in corpus_pipeline.cut_repeated_passages(spark, docs, SF).collect()}
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    late, _ = test_suffix_dedup.brute(rows)
+    for i, t in rows:
+        left = [w for k, w in enumerate(test_suffix_dedup.words(t)) if k not in late.get(i, ())]
+        if i in late and not left:
+            assert i not in after
+        else:
+            assert test_suffix_dedup.words(after[i]) == left

@@ -141,3 +141,13 @@ def test_grams_of_many_records(spark):
             assert found(sd.passages(docs, segment=8, group=16)) == brute(rows)[0]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", held)
+
+
+def test_whole_table_exactly(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    got = {}
+    for r in QUERIES["op10_suffix_dedup"](spark, sf).collect():
+        assert r.first_doc_id < r.doc_id
+        got.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+    assert got == brute(rows)[0]
