@@ -98,3 +98,10 @@ def test_odd_rows(spark):
     assert sorted(r.text for r in out.collect()) == ["", "", "x\n\nx", "x\n\nx"]
     assert extract(pages.where("false")).count() == 0
     assert QUERIES["op3_html_text"](spark, SF).where(F.col("text").isNull()).count() == 0
+
+
+def test_quotes_outside_values():
+    assert render("<p title=don't>one</p><p>two's</p>three") == "one\n\ntwo's\n\nthree"
+    assert render('<a class="x"">one</a> two') == "one two"
+    assert render("<p title = 'a > b' hidden>no</p><p alt=a\"hidden\">yes</p>") == "yes"
+    assert render('one <p title="two>three') == "one"
