@@ -1,4 +1,7 @@
-"""Settings of the compressor. They are read on the driver and compiled into expressions."""
+"""Settings of the compressor. They are read on the driver and compiled into expressions.
+
+Fixed values: names and defaults of the settings are the public surface that callers rely on.
+"""
 
 from __future__ import annotations
 
@@ -14,8 +17,8 @@ class NoiseConfig:
     drop_log_levels: bool = False
     drop_stack_trace_frames: bool = True
     collapse_blank_lines: bool = True
-    #: (Java regular expression, label), tried after the built-in rules in this order.
-    extra_patterns: list[tuple[str, str]] = field(default_factory=list)
+    #: (Python regular expression as text or compiled, label), tried after the built-in rules in this order.
+    extra_patterns: list[tuple] = field(default_factory=list)
 
 
 @dataclass

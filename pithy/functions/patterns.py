@@ -7,6 +7,8 @@ character or the end", so no look-around is needed.
 
 from __future__ import annotations
 
+import re
+
 WS = r"[\t-\r\x1c-\x20\x85\p{Z}]"
 NWS = r"[^\t-\r\x1c-\x20\x85\p{Z}]"
 W = r"[\p{L}\p{N}_]"
@@ -67,3 +69,59 @@ def java(pattern: str, ignore_case: bool = False) -> str:
 def re2(pattern: str, ignore_case: bool = False) -> str:
     """For DuckDB, as the body of a single-quoted literal."""
     return ("(?i)" if ignore_case else "") + pattern.replace("'", "''")
+
+
+#: Escapes that Java reads otherwise than Python, by what stands for them (without brackets, and negated).
+_CLASSES = {"s": (WS[1:-1], False), "S": (WS[1:-1], True), "w": (W[1:-1], False), "W": (W[1:-1], True), "d": (D, False), "D": (D, True)}
+_EDGE = {"b": rf"(?:(?<={W})(?!{W})|(?<!{W})(?={W}))", "B": rf"(?:(?<={W})(?={W})|(?<!{W})(?!{W}))", "Z": r"\z", "v": r"\x0B"}
+
+
+def from_user(pattern: str | re.Pattern) -> str:
+    """A Python pattern (text, or compiled with flags) for Spark, with the meaning that Python gives it.
+
+    Raises ValueError for what Java can't say: bytes patterns, ASCII and locale flags, conditionals, named characters.
+    """
+    made = re.compile(pattern)
+    if isinstance(made.pattern, bytes) or made.flags & (re.ASCII | re.LOCALE):
+        raise ValueError(f"only Unicode patterns of texts are taken: {pattern!r}")
+    source, out, at, inside = re.sub(r"^\(\?[aiLmsux]+\)", "", made.pattern), [], 0, False
+    while at < len(source):
+        c, two = source[at], source[at : at + 2]
+        if c == "\\":
+            letter = two[1]
+            if letter in _CLASSES:
+                body, negated = _CLASSES[letter]
+                out.append(f"[^{body}]" if negated else body if inside else f"[{body}]")
+            elif letter in _EDGE and not (inside and letter in "bBZ"):
+                out.append(_EDGE[letter])
+            elif letter == "N" or letter == "0":
+                raise ValueError(f"\\{letter} has no counterpart in {pattern!r}")
+            elif letter == "U":
+                out.append(f"\\x{{{source[at + 2 : at + 10]}}}")
+                at += 8
+            else:
+                out.append(r"\x08" if letter == "b" else two)
+            at += 2
+            continue
+        if inside:
+            out.append("\\" + c if c in "[&" else c)
+            if c == "]":
+                inside = False
+        elif c == "[":
+            inside = True
+            lead = re.match(r"\[\^?\]?", source[at:])[0]
+            out.append(lead.replace("]", r"\]"))
+            at += len(lead)
+            continue
+        elif source.startswith("(?(", at):
+            raise ValueError(f"conditionals have no counterpart in {pattern!r}")
+        elif source.startswith("(?P<", at) or source.startswith("(?P=", at):
+            name = re.match(r"\(\?P[<=](\w+)", source[at:])[1]
+            out.append(f"(?<{name.replace('_', 'U')}" if source[at + 3] == "<" else rf"\k<{name.replace('_', 'U')}>")
+            at += 4 + len(name) + (source[at + 3] == "=")
+            continue
+        else:
+            out.append(c)
+        at += 1
+    on = "".join(letter for flag, letter in ((re.IGNORECASE, "iu"), (re.MULTILINE, "m"), (re.DOTALL, "s"), (re.VERBOSE, "x")) if made.flags & flag)
+    return f"(?d{on})" + "".join(out)

@@ -18,22 +18,21 @@ from pithy.operators.fold import near_lines, text_fold
 def drop_exact(df: DataFrame, text: str, count: str, annotate: bool = True) -> DataFrame:
     """Repeated lines (equal when stripped) go; the first one tells how often it came. Blank lines become empty."""
     step = df.withColumn("__lines", X.lines(F.col(text)))
-    step = step.withColumn("__s", F.sort_array(F.transform("__lines", lambda x, i: F.struct(X.strip(x).alias("k"), i.alias("p")))))
-    at_first = lambda x, i: (x["k"] == "") | (i == 0) | (F.get("__s", i - 1)["k"] != x["k"])
-    step = step.withColumn("__i", F.transform("__s", lambda x, i: F.when(at_first(x, i), F.struct(x["p"].alias("p"), x["k"].alias("k"), i.alias("i")))))
-    step = step.withColumn("__f", F.filter("__i", lambda x: x.isNotNull()))
+    # sorted by stripped line, then place; neighbours are put side by side by a shifted copy
+    step = step.withColumn("__s", F.sort_array(F.transform("__lines", lambda x, i: F.struct(X.strip(x).alias("k"), i.alias("p"), x.alias("line")))))
+    keys = F.concat(F.array(F.lit(None).cast("string")), F.transform("__s", lambda x: x["k"]))
+    opens = lambda x, before: x["k"].isNotNull() & ((x["k"] == "") | ~x["k"].eqNullSafe(before))
+    step = step.withColumn("__o", F.zip_with("__s", keys, lambda x, before: F.struct(x.alias("x"), opens(x, before).alias("first"))))
+    step = step.withColumn("__f", F.filter(F.transform("__o", lambda x, i: F.struct(x["x"].alias("x"), x["first"].alias("first"), i.alias("i"))), lambda x: x["first"]))
+    ends = F.concat(F.transform(F.slice("__f", F.lit(2), F.size("__f")), lambda x: x["i"]), F.array(F.size("__s")))
     marker = lambda k: k.startswith("__blank__")  # noqa: E731  a key of this form is printed as an empty line
-    sized = lambda x, j: F.struct(x["p"].alias("p"), x["k"].alias("k"), (F.coalesce(F.get("__f", j + 1)["i"], F.size("__s")) - x["i"]).alias("n"))
-    step = step.withColumn("__g", F.sort_array(F.transform("__f", sized)))
-    line = lambda x: F.get("__lines", x["p"])
-
-    def out(x):
-        plain = F.when((x["k"] == "") | marker(x["k"]), F.lit("")).otherwise(line(x))
-        return F.when((x["n"] > 1) & (x["k"] != "") & ~marker(x["k"]), F.concat(line(x), F.lit("  [x"), x["n"].cast("string"), F.lit("]"))).otherwise(plain) if annotate else plain
-
-    gone = F.aggregate("__g", F.lit(0).cast("long"), lambda a, x: a + F.when((x["k"] != "") & ~marker(x["k"]), x["n"] - 1).otherwise(0))
+    plain = lambda x: (x["k"] == "") | marker(x["k"])
+    group = lambda x, end: F.struct(x["x"]["p"].alias("p"), F.when(plain(x["x"]), "").otherwise(x["x"]["line"]).alias("line"), F.when(plain(x["x"]), 1).otherwise(end - x["i"]).alias("n"))
+    step = step.withColumn("__g", F.sort_array(F.zip_with("__f", ends, group)))
+    out = lambda x: F.when(x["n"] > 1, F.concat(x["line"], F.lit("  [x"), x["n"].cast("string"), F.lit("]"))).otherwise(x["line"]) if annotate else x["line"]
+    gone = F.aggregate("__g", F.lit(0).cast("long"), lambda a, x: a + x["n"] - 1)
     step = step.withColumn(count, F.when(F.col(text).isNotNull(), gone))
-    return step.withColumn(text, X.unlines(F.transform("__g", out))).drop("__lines", "__s", "__i", "__f", "__g")
+    return step.withColumn(text, X.unlines(F.transform("__g", out))).drop("__lines", "__s", "__o", "__f", "__g")
 
 
 def drop_near(df: DataFrame, text: str, count: str, threshold: float = 0.92, min_length: int = 12) -> DataFrame:
@@ -49,5 +48,3 @@ def filter_redundancy(df: DataFrame, text: str, details: str, config: Redundancy
     df = drop_near(df, text, "__near", config.similarity_threshold, config.min_line_length_for_fuzzy) if config.near_duplicate else df.withColumn("__near", zero)
     counts = F.create_map(F.lit("exact_removed"), F.col("__exact"), F.lit("near_removed"), F.col("__near"))
     return df.withColumn(details, F.when(F.col(text).isNotNull(), counts)).drop("__exact", "__near")
-
-

@@ -56,8 +56,8 @@ def with_findings(df: DataFrame, text: str, out: str = "findings", examples: int
 
 def classify(df: DataFrame, id_col: str, text: str, examples: int = 3) -> DataFrame:
     """One row for each document and class: label, severity, count, first_pos, examples, cves."""
-    each = with_findings(df.select(id_col, text), text, "f", examples).select(id_col, F.explode("f").alias("f"))
-    return each.select(id_col, *[F.col(f"f.{c}").alias(c) for c in ("label", "severity", "count", "first_pos", "examples", "cves")])
+    each = with_findings(df.select(id_col, text), text, "f", examples).select(id_col, F.explode_outer("f").alias("f"))
+    return each.where("f is not null").select(id_col, *[F.col(f"f.{c}").alias(c) for c in ("label", "severity", "count", "first_pos", "examples", "cves")])
 
 
 def brief(df: DataFrame, text: str, examples: int = 5) -> DataFrame:

@@ -1,16 +1,22 @@
-"""Folds over a document whose decisions depend on earlier decisions: the part that no window frame can say.
+"""Decisions that depend on earlier decisions: which phrases or lines of a document resemble one that was kept.
 
-They run in Arrow functions over single rows (no shuffle). Bounds that can only be too high are
-tried before the matcher, so results equal those of the matcher alone.
+They run in Arrow functions over single rows (no shuffle). A document is first cut into records; an
+index of the kept records proposes the few earlier ones that may be near enough; the matcher decides;
+the text is put together from the mask of kept records. The index and the bounds tried before the
+matcher can only propose too many, so results equal those of the matcher alone.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections import deque
-from collections.abc import Callable, Iterator
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterable, Iterator
 from difflib import SequenceMatcher
+from itertools import chain
+from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,72 +55,142 @@ def text_fold(df: DataFrame, text: str, count: str, fn: Callable[[str], tuple[st
     return step.withColumn(count, F.col("__fold.n")).withColumn(text, F.col("__fold.text")).drop("__fold")
 
 
-def similar(first: str, second: str, threshold: float) -> bool:
-    """Whether the matcher's ratio of (first, second), in this order, reaches the threshold."""
-    m = SequenceMatcher(None, first, second)
-    return m.real_quick_ratio() >= threshold and m.quick_ratio() >= threshold and m.ratio() >= threshold
+def lengths_differ(a: int, b: int, threshold: float) -> bool:
+    return abs(a - b) / max(a, b, 1) > (1 - threshold)
 
 
-def lengths_differ(a: int, b: int, threshold: float) -> bool:
-    return abs(a - b) / max(a, b) > (1 - threshold)
-
-
-class PhraseMemory:
-    """Kept phrases: all of them for equality, the last ``window`` for resemblance."""
-
-    def __init__(self, threshold: float, window: int):
-        self.threshold, self.gate = threshold, max(0.0, 2 * threshold - 1)
-        self.exact: set[str] = set()
-        self.recent: deque[tuple[str, int, frozenset]] = deque(maxlen=window)
-
-    def repeats(self, norm: str) -> bool:
-        """Whether a phrase repeats a kept one; if not it is kept."""
-        if norm in self.exact:
-            return True
-        words, n = frozenset(norm.split()), len(norm)
-        for other, length, bag in self.recent:
-            if lengths_differ(length, n, self.threshold):
-                continue
-            both = len(words & bag)
-            union = len(words) + len(bag) - both
-            if (not union or both / union >= self.gate) and similar(other, norm, self.threshold):
+class Near:
+    """Whether a text resembles one of some earlier ones: the matcher's ratio of (earlier, text) reaches the threshold."""
+
+    def __init__(self, threshold: float):
+        self.threshold = threshold
+
+    def any(self, text: str, earlier: Iterable[str]) -> bool:
+        matcher = None
+        for other in earlier:
+            matcher = matcher or SequenceMatcher(None, "", text)  # what it learns of its second text serves all comparisons
+            matcher.set_seq1(other)
+            if matcher.real_quick_ratio() >= self.threshold and matcher.quick_ratio() >= self.threshold and matcher.ratio() >= self.threshold:
                 return True
-        self.exact.add(norm)
-        self.recent.append((norm, n, words))
         return False
 
 
+def similar(first: str, second: str, threshold: float) -> bool:
+    """Whether the matcher's ratio of (first, second), in this order, reaches the threshold."""
+    return Near(threshold).any(second, (first,))
+
+
+class PhraseIndex:
+    """Kept phrases by their rarest words.
+
+    Two word sets with a Jaccard similarity of ``gate`` have one of their first n - ceil(gate n) + 1
+    words in common, in any fixed order of words; with rare words first these lists are short. With
+    a gate of 0 every kept phrase is proposed.
+    """
+
+    def __init__(self, bags: list[frozenset[str]], gate: float):
+        self.bags, self.gate = bags, gate
+        self.rank = {w: k for k, (w, _) in enumerate(sorted(Counter(chain.from_iterable(bags)).items(), key=itemgetter(1)))}
+        self.rare = [sorted(bag, key=self.rank.__getitem__)[: len(bag) - math.ceil(gate * len(bag) - 1e-9) + 1] for bag in bags] if gate > 0 else []
+        self.holders: dict[str, list[int]] = defaultdict(list)
+        self.order: list[int] = []  # kept phrases, oldest first
+
+    def near(self, i: int, window: int) -> list[int]:
+        """Of the last ``window`` kept phrases those whose words are near enough to those of phrase i."""
+        recent = self.order[max(0, len(self.order) - window) :] if window > 0 else []
+        if not recent or self.gate <= 0:
+            return recent
+        oldest, met = recent[0], set()
+        for word in self.rare[i]:
+            for k in reversed(self.holders.get(word, ())):
+                if k < oldest:
+                    break
+                met.add(k)
+        if not met:
+            return []
+        mine = self.bags[i]
+        return [k for k in sorted(met) if len(mine & self.bags[k]) / len(mine | self.bags[k]) >= self.gate]
+
+    def keep(self, i: int) -> None:
+        self.order.append(i)
+        if self.gate > 0:
+            for word in self.rare[i]:
+                self.holders[word].append(i)
+
+
+def fresh_phrases(norms: list[str], threshold: float, window: int) -> list[bool]:
+    """For each phrase whether it stays: it equals no kept phrase, and resembles none of the last ``window`` kept ones."""
+    near, index = Near(threshold), PhraseIndex([frozenset(x.split()) for x in norms], max(0.0, 2 * threshold - 1))
+    kept: set[str] = set()
+    mask = []
+    for i, norm in enumerate(norms):
+        some = [] if norm in kept else [norms[k] for k in index.near(i, window) if not lengths_differ(len(norms[k]), len(norm), threshold)]
+        stays = norm not in kept and not (some and near.any(norm, some))
+        mask.append(stays)
+        if stays:
+            kept.add(norm)
+            index.keep(i)
+    return mask
+
+
 def without_repeats(text: str, threshold: float = 0.9, min_length: int = 20, window: int = 64) -> tuple[str, int]:
     """A text without phrases that repeat an earlier one, and how many went. Kept phrases of a line are joined by one blank; a line of which none is kept vanishes."""
-    memory = PhraseMemory(threshold, window)
-    gone = 0
-    out = []
-    for line in text.split("\n"):
-        if not line.strip():
-            out.append(line)
-            continue
-        pieces = PHRASE_END.split(line)
-        kept = []
-        for piece in pieces:
-            norm = re.sub(r"\s+", " ", piece.strip().lower())
-            if len(norm) >= min_length and memory.repeats(norm):
-                gone += 1
-            else:
-                kept.append(piece)
-        if kept:
-            out.append(" ".join(kept))
-    return "\n".join(out), gone
+    pieces = [(PHRASE_END.split(line) if line.strip() else None, line) for line in text.split("\n")]
+    norms = [[" ".join(p.lower().split()) for p in parts or ()] for parts, _ in pieces]
+    judged = iter(mask := fresh_phrases([n for some in norms for n in some if len(n) >= min_length], threshold, window))
+    lines = []
+    for (parts, line), some in zip(pieces, norms, strict=True):
+        left = None if parts is None else [p for p, n in zip(parts, some, strict=True) if len(n) < min_length or next(judged)]
+        if left is None or left:
+            lines.append(line if left is None else " ".join(left))
+    return "\n".join(lines), mask.count(False)
+
+
+#: Characters are counted in so many bins; a sum of smaller counts over bins can only be too high.
+BINS = 48
+
+
+class LineIndex:
+    """Kept lines by length, with their characters counted in bins."""
+
+    def __init__(self, threshold: float):
+        self.threshold = threshold
+        self.lines: dict[int, list[str]] = defaultdict(list)
+        self.bins: dict[int, np.ndarray] = {}
+
+    @staticmethod
+    def _count(line: str) -> np.ndarray:
+        return np.bincount(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32) % BINS, minlength=BINS).astype(np.int32)
+
+    def near(self, line: str) -> Iterator[str]:
+        """Kept lines whose length and characters allow the ratio."""
+        n, mine = len(line), self._count(line)
+        slack = 1 - self.threshold
+        low, high = (n - math.ceil(slack * n) - 1, math.ceil(n / self.threshold) + 1) if self.threshold > 0 else (0, max(self.lines, default=0))
+        for size in range(low, high + 1) if high - low < len(self.lines) else sorted(self.lines):
+            if size in self.lines and not lengths_differ(size, n, self.threshold):
+                some = self.lines[size]
+                common = np.minimum(self.bins[size][: len(some)], mine).sum(1)
+                yield from (some[k] for k in np.flatnonzero(2.0 * common / max(size + n, 1) >= self.threshold))
+
+    def keep(self, line: str) -> None:
+        some = self.lines[len(line)]
+        held = self.bins.get(len(line))
+        if held is None or len(held) == len(some):  # room for twice as many
+            more = np.zeros((2 * len(some) + 2, BINS), np.int32)
+            more[: len(some)] = 0 if held is None else held
+            self.bins[len(line)] = held = more
+        held[len(some)] = self._count(line)
+        some.append(line)
 
 
 def near_lines(text: str, threshold: float, min_length: int) -> tuple[str, int]:
     """A text without lines that resemble an earlier kept one, and how many went."""
-    kept, bare, gone = [], [], 0
-    for line in text.split("\n"):
-        mine = line.strip()
-        if len(mine) >= min_length:
-            if any(not lengths_differ(len(p), len(mine), threshold) and similar(p, mine, threshold) for p in bare):
-                gone += 1
-                continue
-            bare.append(mine)
-        kept.append(line)
-    return "\n".join(kept), gone
+    lines = text.split("\n")
+    index, near, mask = LineIndex(threshold), Near(threshold), []
+    for bare in map(str.strip, lines):
+        long = len(bare) >= min_length
+        mask.append(not (long and near.any(bare, index.near(bare))))
+        if long and mask[-1]:
+            index.keep(bare)
+    return "\n".join(line for line, stays in zip(lines, mask, strict=True) if stays), mask.count(False)

@@ -1,7 +1,9 @@
 """Noise lines: a line goes with the label of the first rule that matches; runs of blank lines become one.
 
-One narrow projection: labels are a CASE over literal patterns (compiled once per task), the blank
-before is looked up in the original lines, so nothing is exploded and nothing is shuffled.
+One narrow projection, linear in the lines: each line is labelled once, by a CASE over literal
+patterns (compiled once per task). Computed arrays are only ever *arguments* of higher-order
+functions, never looked up in the body of one: the optimizer puts the expression of a column that is
+used once in its place, and in a body it would be evaluated anew for each line.
 """
 
 from __future__ import annotations
@@ -14,12 +16,14 @@ from pithy.functions import patterns as P
 from pithy.functions import text as X
 
 BLANK = "blank_line"
+#: The code of a blank line before it is known what precedes it; no line and no label can be this.
+_EMPTY = "\n"
 
 
 def rules(config: NoiseConfig) -> list[tuple[str, str]]:
     """(label, Java pattern) of the rules that are on, in order."""
     on = [(label, P.java(p, fold)) for label, key, fold, p in P.NOISE if getattr(config, key)]
-    return on + [(label, p) for p, label in config.extra_patterns]
+    return on + [(label, P.from_user(p)) for p, label in config.extra_patterns]
 
 
 def label_of(line: Column, config: NoiseConfig) -> Column:
@@ -30,25 +34,32 @@ def label_of(line: Column, config: NoiseConfig) -> Column:
     return F.lit(None).cast("string") if out is None else out
 
 
+def coded(lines: str, codes: str, config: NoiseConfig) -> Column:
+    """An array of (line, why it goes or null) of the columns ``lines`` and ``codes``; codes are labels, or _EMPTY for a blank line."""
+    again = (lambda code, before: (code == _EMPTY) & (before == _EMPTY)) if config.collapse_blank_lines else (lambda code, before: F.lit(False))
+    why = F.zip_with(codes, F.concat(F.array(F.lit("start")), F.col(codes)), lambda code, before: F.when(again(code, before), BLANK).when(code != _EMPTY, code))
+    return F.filter(F.zip_with(lines, why, lambda line, w: F.struct(line.alias("line"), w.alias("why"))), lambda x: x["line"].isNotNull())
+
+
 def with_labels(df: DataFrame, text: str, config: NoiseConfig) -> DataFrame:
-    """``df`` with ``__lines`` and ``__codes`` (why a line goes, or null)."""
+    """``df`` with ``__coded``: (line, why) of each line, where why is the label with which it goes, or null."""
     step = df.withColumn("__lines", X.lines(F.col(text)))
-    step = step.withColumn("__blank", F.transform("__lines", X.is_blank))
-    again = lambda i: (i > 0) & F.get("__blank", i - 1) if config.collapse_blank_lines else F.lit(False)
-    code = lambda x, i: F.when(F.get("__blank", i), F.when(again(i), BLANK)).otherwise(label_of(x, config))
-    return step.withColumn("__codes", F.transform("__lines", code)).drop("__blank")
+    step = step.withColumn("__codes", F.transform("__lines", lambda x: F.when(X.is_blank(x), _EMPTY).otherwise(label_of(x, config))))
+    return step.withColumn("__coded", coded("__lines", "__codes", config)).drop("__lines", "__codes")
 
 
-def _count(label: str) -> Column:
-    return F.size(F.filter("__codes", lambda c: c == label)).cast("long")
+def _counts(labels: list[str]) -> Column:
+    """A map of each label that occurs to its number, by one walk over ``__coded``."""
+    zero = F.struct(*[F.lit(0).cast("long").alias(f"c{k}") for k in range(len(labels))])
+    step = lambda acc, x: F.struct(*[(acc[f"c{k}"] + F.when(x["why"] == label, 1).otherwise(0)).alias(f"c{k}") for k, label in enumerate(labels)])
+    done = lambda acc: F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(label).alias("key"), acc[f"c{k}"].alias("value")) for k, label in enumerate(labels)]), lambda e: e["value"] > 0))
+    return F.aggregate("__coded", zero, step, done)
 
 
 def filter_noise(df: DataFrame, text: str, details: str, config: NoiseConfig | None = None) -> DataFrame:
-    """``text`` without noise; ``details`` maps each label that occurred to its count."""
+    """``text`` without noise; ``details`` maps each label that occurred to its count (read it by ``explode_outer``: plain ``explode`` makes the optimizer evaluate it twice)."""
     config = config or NoiseConfig()
     step = with_labels(df, text, config)
     labels = list(dict.fromkeys([label for label, _ in rules(config)] + [BLANK]))
-    count = F.map_from_arrays(F.array(*[F.lit(x) for x in labels]), F.array(*[_count(x) for x in labels]))
-    kept = X.unlines(F.filter("__lines", lambda x, i: F.get("__codes", i).isNull()))
-    step = step.withColumn(details, F.when(F.col(text).isNotNull(), F.map_filter(count, lambda k, v: v > 0)))
-    return step.withColumn(text, kept).drop("__lines", "__codes")
+    kept = F.transform(F.filter("__coded", lambda x: x["why"].isNull()), lambda x: x["line"])
+    return step.withColumn(details, F.when(F.col(text).isNotNull(), _counts(labels))).withColumn(text, X.unlines(kept)).drop("__coded")

@@ -2,14 +2,14 @@
 
 Term counts and similarity edges are relational (an equi-join on document and term, never a cross
 join). The rank iteration adds doubles in ascending sentence order; it runs in one Arrow function per
-document, vectorised over sentences, with the same order of additions and so the same bits.
+document over sparse rows, with the same order of additions and so the same bits.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,34 +52,80 @@ def split(text: str) -> list[str]:
     return [s for s in (p.strip() for p in _END.split(text)) if s]
 
 
+#: Similarities of a document that are kept between rounds (with more, rows are made anew in each round), cells of a
+#: block of rows, and products of terms in a block.
+KEPT_EDGES, CELLS, PRODUCTS = 4_000_000, 1 << 18, 1 << 20
+
+
+class Similarities:
+    """The cosine matrix of sentences, without its diagonal, in blocks of rows; only pairs that share a term are held.
+
+    Dot products are sums of whole numbers, so their order doesn't matter. Memory follows the terms
+    of the document and one block, not the square of its sentences.
+    """
+
+    def __init__(self, sents: list[str]):
+        bags = [Counter(w for w in map(str.lower, _WORD.findall(s)) if w not in _STOP) for s in sents]
+        sizes = np.array([len(bag) for bag in bags], np.int64)
+        place: dict[str, int] = {}
+        self.n = n = len(sents)
+        self.term = np.fromiter((place.setdefault(t, len(place)) for bag in bags for t in bag), np.int64, int(sizes.sum()))
+        self.count = np.fromiter((c for bag in bags for c in bag.values()), np.float64, len(self.term))
+        self.sentence = np.repeat(np.arange(n), sizes)
+        self.norm = np.sqrt(np.bincount(self.sentence, self.count * self.count, n))
+        by_term = np.argsort(self.term, kind="stable")
+        self.owner, self.weight = self.sentence[by_term], self.count[by_term]  # one term after the other
+        self.many = np.bincount(self.term, minlength=len(place))
+        self.first = np.cumsum(self.many) - self.many
+        self.at = np.concatenate([[0], np.cumsum(sizes)])
+
+    def blocks(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(row, column, similarity) of all pairs, by ascending row, then column."""
+        n, j = self.n, 0
+        work = np.concatenate([[0], np.cumsum(self.many[self.term])])[self.at]
+        while j < n:
+            end = max(j + 1, min(n, j + CELLS // n, int(np.searchsorted(work, work[j] + PRODUCTS, side="right")) - 1))
+            some = slice(self.at[j], self.at[end])
+            many = self.many[self.term[some]]
+            total = int(many.sum())
+            pick = np.arange(total) + np.repeat(self.first[self.term[some]] - (np.cumsum(many) - many), many)
+            cell = np.repeat((self.sentence[some] - j) * n, many) + self.owner[pick]
+            dots = np.bincount(cell, self.weight[pick] * np.repeat(self.count[some], many), (end - j) * n)
+            dots[np.arange(end - j) * (n + 1) + j] = 0.0
+            cell = np.flatnonzero(dots)
+            row, col = cell // n + j, cell % n
+            yield row, col, dots[cell] / (self.norm[row] * self.norm[col])
+            j = end
+
+
 def scores(sents: list[str], damping: float = 0.85, rounds: int = 30) -> np.ndarray:
-    """Rank of each sentence by iteration over cosine similarities of term counts."""
-    n = len(sents)
-    bags = [Counter(w for w in (m.lower() for m in _WORD.findall(s)) if w not in _STOP) for s in sents]
-    holders: dict[str, list[tuple[int, int]]] = {}
-    for i, bag in enumerate(bags):
-        for term, tf in bag.items():
-            holders.setdefault(term, []).append((i, tf))
-    dot = np.zeros((n, n))
-    for some in holders.values():
-        if len(some) > 1:
-            at = np.array([i for i, _ in some])
-            tf = np.array([t for _, t in some], np.float64)
-            dot[np.ix_(at, at)] += np.outer(tf, tf)
-    norm = np.array([math.sqrt(sum(t * t for t in bag.values())) for bag in bags])
-    length = np.outer(norm, norm)
-    weight = np.divide(dot, length, out=np.zeros((n, n)), where=(length > 0) & (dot > 0))
-    np.fill_diagonal(weight, 0.0)
-    total = np.zeros(n)
-    for j in range(n):
-        total += weight[:, j]
-    live = [j for j in range(n) if total[j] != 0]
-    share = [weight[j] / total[j] for j in live]
-    rank = np.full(n, 1.0 / n)
+    """Rank of each sentence by iteration over cosine similarities of term counts.
+
+    Every sum of doubles runs over sentences in ascending order (``bincount`` adds one after the
+    other), so scores equal those of plain loops bit for bit.
+    """
+    alike = Similarities(sents)
+    n = alike.n
+    every, rank = np.arange(n), np.full(n, 1.0 / n)
+    kept, edges = [], 0
+
+    def shares():
+        """(row, column, similarity as a part of its row's sum) of blocks."""
+        for row, col, w in alike.blocks():
+            yield row, col, w / np.bincount(row, w, n)[row]
+
+    for block in shares():
+        edges += len(block[0])
+        if edges > KEPT_EDGES:
+            kept = []
+            break
+        kept.append(block)
+    if kept:
+        kept = [tuple(np.concatenate(c) for c in zip(*kept, strict=True))]
     for _ in range(rounds):
         acc = np.zeros(n)
-        for j, part in zip(live, share, strict=True):
-            acc += part * rank[j]
+        for row, col, part in kept or shares():
+            acc = np.bincount(np.concatenate([every, col]), np.concatenate([acc, part * rank[row]]), n)
         rank = (1 - damping) / n + damping * acc
     return rank
 

@@ -22,24 +22,26 @@ def trim_tables(df: DataFrame, text: str, count: str, max_rows: int) -> DataFram
     """Runs of more than ``max_rows`` table rows keep their head and a line that tells how many went.
 
     Runs are found between the lines that aren't rows: each such line, and a first one before the
-    text, is followed by a run up to the next one.
+    text, is followed by a run up to the next one. From the runs' lengths each line gets a mark (0: it
+    stays, -1: it goes, more: it becomes the note on so many rows), and marks meet lines by place.
     """
     step = df.withColumn("__lines", X.lines(F.col(text)))
-    step = step.withColumn("__row", F.transform("__lines", lambda x: x.rlike(P.java(P.TABLE_ROW))))
-    others = F.filter(F.transform("__row", lambda r, i: F.when(r, F.lit(-2)).otherwise(i)), lambda i: i > -2)
-    step = step.withColumn("__at", F.concat(F.array(F.lit(-1)), others))
-
-    def run(at, k):
-        size = F.coalesce(F.get("__at", k + 1), F.size("__lines")) - at - 1
-        head = F.slice("__lines", at + 2, F.least(size, F.lit(max_rows)))
-        more = F.when(size > max_rows, F.array(F.concat(F.lit("… (+"), (size - max_rows).cast("string"), F.lit(" more rows)")))).otherwise(F.array().cast("array<string>"))
-        own = F.when(at >= 0, F.array(F.get("__lines", at))).otherwise(F.array().cast("array<string>"))
-        return F.concat(own, head, more)
-
-    hidden = F.transform("__at", lambda at, k: F.greatest(F.coalesce(F.get("__at", k + 1), F.size("__lines")) - at - 1 - max_rows, F.lit(0)))
-    step = step.withColumn("__out", F.flatten(F.transform("__at", run))).withColumn("__hidden", hidden)
-    step = step.withColumn(count, F.when(F.col(text).isNotNull(), F.aggregate("__hidden", F.lit(0).cast("long"), lambda a, x: a + x)))
-    return step.withColumn(text, X.unlines(F.col("__out"))).drop("__lines", "__row", "__at", "__out", "__hidden")
+    marked = F.transform("__lines", lambda x, i: F.when(~x.rlike(P.java(P.TABLE_ROW)), i))
+    step = step.withColumn("__at", F.concat(F.array(F.lit(-1)), F.filter(marked, lambda i: i.isNotNull())))
+    ends = F.concat(F.slice("__at", F.lit(2), F.size("__at")), F.array(F.size("__lines")))
+    runs = F.zip_with("__at", ends, lambda at, end: F.struct(at.alias("at"), (end - at - 1).alias("size")))
+
+    def marks(run):
+        own, hidden = F.when(run["at"] >= 0, 1).otherwise(0), run["size"] - max_rows
+        tail = F.when(hidden > 0, F.concat(F.array_repeat(F.lit(-1), hidden - 1), F.array(hidden))).otherwise(F.array().cast("array<int>"))
+        return F.concat(F.array_repeat(F.lit(0), own + F.least(run["size"], F.lit(max_rows))), tail)
+
+    step = step.withColumn("__marks", F.flatten(F.transform(runs, marks)))
+    note = lambda k: F.concat(F.lit("… (+"), k.cast("string"), F.lit(" more rows)"))
+    out = F.zip_with("__lines", "__marks", lambda x, k: F.when(k == 0, x).when(k > 0, note(k)))
+    hidden = F.aggregate("__marks", F.lit(0).cast("long"), lambda a, k: a + F.greatest(k, F.lit(0)))
+    step = step.withColumn(count, F.when(F.col(text).isNotNull(), hidden))
+    return step.withColumn(text, X.unlines(F.filter(out, lambda x: x.isNotNull()))).drop("__lines", "__at", "__marks")
 
 
 def trim_literals(df: DataFrame, text: str, count: str, limit: int, keep: int) -> DataFrame:

@@ -167,7 +167,7 @@ ORACLE_SQL["heuristic_tokens"] = f"select doc_id, len(regexp_extract_all(text, '
 
 def _noise_counts(df: DataFrame, config: NoiseConfig) -> DataFrame:
     done = noise.filter_noise(df, "text", "details", config)
-    return done.select("doc_id", F.explode("details").alias("label", "n"))
+    return done.select("doc_id", F.explode_outer("details").alias("label", "n")).where("label is not null")
 
 
 def _noise_counts_sql(source: str, config: NoiseConfig) -> str:
@@ -304,11 +304,11 @@ def phrase_fuzzy_dedup(spark, sf):
 
 @query
 def near_pair_candidates(spark, sf):
-    return phrases.candidate_pairs(docs(spark, sf), "doc_id", "text")
+    return phrases.candidate_pairs(conversation_text(spark, sf), "doc_id", "text")
 
 
 ORACLE_SQL["near_pair_candidates"] = f"""
-with {_DOC_LINES},{_PHRASES}, n as (select distinct doc_id, norm, list_distinct(string_split(norm, ' ')) as w, length(norm) as l from normed where length(norm) >= 20)
+with {_CONV_LINES},{_PHRASES}, n as (select distinct doc_id, norm, list_distinct(string_split(norm, ' ')) as w, length(norm) as l from normed where length(norm) >= 20)
 select a.doc_id, a.norm as first, b.norm as second from n a join n b on a.doc_id = b.doc_id and a.norm < b.norm
 where abs(a.l - b.l) / greatest(a.l, b.l)::double <= 1.0::double - 0.9::double
   and len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::double >= 0.8::double"""
@@ -504,8 +504,8 @@ from w left join o on w.doc_id = o.doc_id"""
 @query
 def stage_report(spark, sf):
     config = CompressionConfig(enable_pattern_remover=False, enable_detail_trim=False, redundancy=RedundancyConfig(annotate_duplicate_counts=False))
-    each = plan.compress(docs(spark, sf), config=config).select("doc_id", F.explode("stats.stages").alias("s"))
-    return each.select("doc_id", F.col("s.name").alias("stage"), F.col("s.chars_before").cast("long").alias("chars_before"), F.col("s.chars_after").cast("long").alias("chars_after"))
+    each = plan.compress(docs(spark, sf), config=config).select("doc_id", F.explode_outer("stats.stages").alias("s"))
+    return each.where("s is not null").select("doc_id", F.col("s.name").alias("stage"), F.col("s.chars_before").cast("long").alias("chars_before"), F.col("s.chars_after").cast("long").alias("chars_after"))
 
 
 ORACLE_SQL["stage_report"] = f"""
