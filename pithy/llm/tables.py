@@ -13,13 +13,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder in the place that driver and executors share: spark.checkpoint.dir, or where that is unset (tests on one machine) a local one."""
+    """A new folder in the place that driver and executors share, spark.checkpoint.dir.
+
+    Without it there is none: a local folder would silently lose tables with an executor.
+    """
     base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         import os
         import tempfile
 
-        base = "file://" + os.path.join(tempfile.gettempdir(), "pithy-shared")
+        base = "file://" + os.path.join(tempfile.gettempdir(), "pithy-shared")  # one machine: all tasks run in this process
     return f"{base.rstrip('/')}/pithy-{uuid.uuid4().hex}"
 
 
@@ -29,6 +34,14 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, *paths: str) -> None:
+    """Removes spent tables; only those that nothing reads any more, as what was made of them is written."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 #: Classes with more than this part of all rows are hot; there are at most as many as its inverse.
 HOT_PART, HOT_LEAST = 1 / 2000, 200
 
