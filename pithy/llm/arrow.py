@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 #: Rows of a batch that are held as Python objects at a time.
 SLICE_ROWS = 256
 #: Bytes of an Arrow batch between the JVM and a worker: rows of long texts come in smaller batches.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def slices(arr: pa.Array, rows: int = SLICE_ROWS) -> Iterator[pa.Array]:
