@@ -33,9 +33,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates."""
-    kept = near_dup.near_duplicates(docs).where("kept").select("doc_id")
-    return _same_columns(docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]), docs)
+    """The document with the smallest id of each group of near-duplicates; of rows that repeat an id the least one, so that a repeated task keeps the same."""
+    kept = near_dup.near_duplicates(docs).where("kept").select("doc_id").distinct()
+    others = F.struct("text", *[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")])
+    one = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(others).alias("__row"))
+    return _same_columns(one.select("doc_id", *[F.col(f"__row.`{c}`").alias(c) for c in docs.columns if c != "doc_id"]), docs)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
