@@ -17,7 +17,7 @@ def settings(args: argparse.Namespace) -> CompressionConfig:
     if args.target is not None:
         config.target_ratio = args.target
     if args.model:
-        config.model = args.model
+        config.model, config.token_backend = args.model, "auto"
     return config
 
 
@@ -26,7 +26,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     parser.add_argument("input", nargs="?", default="-", help="file, or - for standard input")
     parser.add_argument("--preset", choices=sorted(PRESETS), default="default")
     parser.add_argument("--target", type=float, help="part of the tokens that may remain")
-    parser.add_argument("--model", default="")
+    parser.add_argument("--model", default="", help="count tokens as this model does, where its files are at hand")
     parser.add_argument("--security", action="store_true", help="brief of scanner output")
     parser.add_argument("--json", action="store_true", help="reshape JSON first")
     parser.add_argument("--stats", action="store_true", help="metrics on standard error")

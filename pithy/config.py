@@ -43,6 +43,8 @@ class TrimConfig:
 @dataclass
 class CompressionConfig:
     model: str = "gpt-4"
+    #: "auto" takes tiktoken where the model's files are at hand, "tiktoken" the same; the heuristic needs none and stays in the JVM.
+    token_backend: str = "heuristic"
     #: Part of the tokens that may remain before the summarizer is used; None never uses it.
     target_ratio: float | None = None
     enable_noise_filter: bool = True

@@ -34,7 +34,7 @@ def stages(config: CompressionConfig) -> list[Stage]:
 def compress(df: DataFrame, text_col: str = "text", config: CompressionConfig | None = None, counter: TokenCounter | None = None, extra_stages: list[Stage] | None = None, out: str = "compressed", stats: str = "stats") -> DataFrame:
     """``df`` with ``out`` (the compressed text) and ``stats``; null texts stay null."""
     config = config or CompressionConfig()
-    count = counter or TokenCounter(config.model)
+    count = counter or TokenCounter(config.model, config.token_backend)
     t = "__t"
     step = df.drop(out, stats).withColumn(t, F.col(f"`{text_col}`").cast("string"))
     step = step.withColumn("__chars", F.length(t)).withColumn("__tokens", count(F.col(t)))

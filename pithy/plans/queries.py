@@ -12,7 +12,7 @@ from pithy.functions import patterns as P
 from pithy.functions import text as X
 from pithy.operators import dedup, findings, jsonshape, noise, phrases, rank, trim
 from pithy.plans import compress as plan
-from pithy.sources.documents import compress_documents, compress_nodes
+from pithy.sources.documents import compress_documents, compress_nodes, shared_base
 from pithy.streaming.compress import compress_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,6 +79,13 @@ def scan_text(spark: SparkSession, sf: str) -> DataFrame:
     return made(spark, sf, F.array(line))
 
 
+def step_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Every tenth event as a step of an agent: sentences that differ in a few words."""
+    e = F.col("e")
+    line = F.concat(F.lit("Step "), e.cast("string"), F.lit(": inspecting the "), "event_type", F.lit(" latency of this service and comparing it against the known baseline of last week."))
+    return made(spark, sf, F.array(F.when(e % 10 == 0, line)))
+
+
 def table_text(spark: SparkSession, sf: str) -> DataFrame:
     row = F.concat(F.lit("| "), F.col("user_id").cast("string"), F.lit(" | "), F.col("event_type"), F.lit(" |"))
     return made(spark, sf, F.array(F.when(F.col("e") % 20 == 7, F.concat(F.lit("plain "), "event_type")).otherwise(row)))
@@ -109,6 +116,10 @@ lines as (select doc_id, row_number() over (partition by doc_id order by e, k0)
 _TABLE_SQL = """
 lines as (select event_id // 100 as doc_id, event_id % 100 as pos,
     case when event_id % 20 = 7 then concat('plain ', event_type) else concat('| ', user_id, ' | ', event_type, ' |') end as line from events)"""
+_STEP_SQL = """
+lines as (select event_id // 100 as doc_id, event_id % 100 as pos,
+    concat('Step ', event_id, ': inspecting the ', event_type, ' latency of this service and comparing it against the known baseline of last week.') as line
+  from events where event_id % 10 = 0)"""
 _SCAN_SQL = """
 h as (select *, concat('10.0.', event_id // 250, '.', event_id % 250) as host from events),
 lines as (select event_id // 100 as doc_id, event_id % 100 as pos, case event_type when 'click' then concat(host, ' port 22 open')
@@ -304,11 +315,11 @@ def phrase_fuzzy_dedup(spark, sf):
 
 @query
 def near_pair_candidates(spark, sf):
-    return phrases.candidate_pairs(conversation_text(spark, sf), "doc_id", "text")
+    return phrases.candidate_pairs(step_text(spark, sf), "doc_id", "text")
 
 
 ORACLE_SQL["near_pair_candidates"] = f"""
-with {_CONV_LINES},{_PHRASES}, n as (select distinct doc_id, norm, list_distinct(string_split(norm, ' ')) as w, length(norm) as l from normed where length(norm) >= 20)
+with {_STEP_SQL},{_PHRASES}, n as (select distinct doc_id, norm, list_distinct(string_split(norm, ' ')) as w, length(norm) as l from normed where length(norm) >= 20)
 select a.doc_id, a.norm as first, b.norm as second from n a join n b on a.doc_id = b.doc_id and a.norm < b.norm
 where abs(a.l - b.l) / greatest(a.l, b.l)::double <= 1.0::double - 0.9::double
   and len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::double >= 0.8::double"""
@@ -378,7 +389,21 @@ from e join n x on x.doc_id = e.doc_id and x.sid = i join n y on y.doc_id = e.do
 
 @query
 def textrank_scores(spark, sf):
-    return rank.rank_scores(docs(spark, sf), "doc_id", "text")
+    return rank.rank_scores(docs(spark, sf), "doc_id", "text").select("doc_id", F.col("sid").cast("long").alias("sid"), F.floor(F.col("score") * 1e9 + 0.5).alias("billionths"))
+
+
+ORACLE_SQL["textrank_scores"] = f"""
+with recursive {_SENTENCES}, nodes as (select doc_id, sid, count(*) over (partition by doc_id) as n from sents),
+n as (select doc_id, sid, sqrt(sum(tf * tf)::double) as norm from tf group by all),
+d as (select a.doc_id, a.sid as i, b.sid as j, sum(a.tf * b.tf)::double as dot from tf a join tf b on a.doc_id = b.doc_id and a.term = b.term and a.sid <> b.sid group by all),
+w as (select d.doc_id, i, j, dot / (x.norm * y.norm) as w from d join n x on x.doc_id = d.doc_id and x.sid = i join n y on y.doc_id = d.doc_id and y.sid = j),
+e as (select doc_id, i, j, w / sum(w) over (partition by doc_id, i) as share from w union all select doc_id, sid, sid, 0.0::double from nodes),
+r as (
+  select 0 as turn, doc_id, sid, 1.0::double / n as score from nodes
+  union all
+  select turn + 1, e.doc_id, e.j, (1 - 0.85::double) / any_value(n.n) + 0.85::double * sum(e.share * r.score)
+  from r join e on e.doc_id = r.doc_id and e.i = r.sid join nodes n on n.doc_id = e.doc_id and n.sid = e.j where turn < 30 group by turn, e.doc_id, e.j)
+select doc_id, sid::bigint as sid, floor(score * 1e9 + 0.5)::bigint as billionths from r where turn = 30"""
 
 
 @query
@@ -537,7 +562,7 @@ def stream_noise_filter(spark, sf):
 
     path = f"{sf}/documents.parquet"
     stream = spark.readStream.schema(spark.read.parquet(path).schema).option("recursiveFileLookup", "true").parquet(path)
-    base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or "file:///tmp/pithy-shared"
+    base = shared_base(spark)
     out = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
     config = CompressionConfig(enable_pattern_remover=False)
     rows = compress_stream(stream, config=config).select("doc_id", "compressed", F.col("stats.compressed_tokens").alias("compressed_tokens"))

@@ -316,3 +316,25 @@ def test_cli(spark, tmp_path, capsys):
 def test_default_plan_has_no_shuffle(spark, capsys):
     plan.compress(frame(spark, "x")).explain()
     assert "Exchange" not in capsys.readouterr().out
+
+
+def test_generated_texts(spark):
+    """Digests of the published inputs, and the lines that are left of the application log."""
+    import hashlib
+
+    digest = {name: hashlib.sha256(getattr(generators, name)(spark).first()["text"].encode()).hexdigest()[:12] for name in ("app_log", "scan_output", "agent_transcript", "json_dump")}
+    paths = "/api/users /api/orders /health /login /api/cart /static/app.js /api/search /metrics /api/payments".split()
+    log = []
+    for i in range(400):
+        log.append("2024-01-15 10:%02d:%02d [INFO] %s %s %d %dms %db uid=%d" % (i % 60, i * 7 % 60, ("GET", "POST")[i % 2], paths[i % 9], (200, 200, 200, 404, 500)[i % 5], i * 13 % 900 + 5, i * 31 % 4096, i % 97))
+        log += ["Connecting to upstream service..."] * (i % 4 == 0) + ["[==========> ] %d%%" % (i % 10 * 10)] * (i % 9 == 0)
+    log.append("ERROR: disk full on /var, write failed")
+    assert digest["app_log"] == hashlib.sha256("\n".join(log).encode()).hexdigest()[:12]
+    agent = []
+    for i in range(120):
+        topic = "orders payments inventory auth search billing".split()[i % 6]
+        agent.append(f"Assistant: Step {i}: inspecting the {topic} service latency and comparing it against the {i * 3 % 500}ms baseline.")
+        agent += ["Assistant: I have already queried the database for the relevant metrics."] * (i % 3 == 0)
+    agent.append("Assistant: Final answer: the bottleneck is a missing index.")
+    assert digest["agent_transcript"] == hashlib.sha256("\n".join(agent).encode()).hexdigest()[:12]
+    assert len(set(digest.values())) == 4
