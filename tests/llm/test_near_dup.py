@@ -97,3 +97,28 @@ def test_estimate_is_unbiased():
             agree = np.array([(near_dup.sketch_of(a) == near_dup.sketch_of(b)).mean()])
             errors.append(near_dup.estimate(agree, np.array([float(len(a))]), np.array([float(len(b))]))[0] - true)
         assert abs(np.mean(errors)) < 0.02
+
+
+def test_repeated_and_null_ids_and_clashing_columns(spark):
+    long = " ".join(f"v{i}" for i in range(60))
+    rows = [(7, long), (7, "quite another text of one document"), (9, long + " more"), (8, "Quite another text of one document"), (None, long), (3, "alone here"), (3, "alone here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as KEPT", "'x' as component_id", "2 as id", "'s' as sketch")
+    got = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in near_dup.near_duplicates(docs).collect())
+    assert got == [(0, 0, False), (3, 3, True), (3, 3, True), (7, 7, True), (7, 7, True), (8, 7, False), (9, 7, False)]
+
+
+def test_links_of_blocks_are_a_forest():
+    rnd = random.Random(3)
+    texts = variants(5, 90, 60, 6)
+    sh = near_dup.Shingler()
+    sets = [sh.shingles(t.encode()) for t in texts]
+    members = [{"id": i, "comp": i, "sketch": near_dup.sketch_of(s).tobytes(), "shingles": s.tobytes()} for i, s in enumerate(sets)]
+    rnd.shuffle(members)
+    got = [(x["a"], x["b"]) for band in range(near_dup.BANDS) for x in near_dup.links_of(members, members, band)]
+    assert all(near_dup.linked(sets[a], sets[b]) for a, b in got)
+    top = list(range(60))
+    for a, b in got:
+        x, y = sorted((top[a], top[b]))
+        top = [x if t == y else t for t in top]
+    want = brute(list(enumerate(texts)))
+    assert top == [want[i][1] for i in range(60)]
