@@ -1,5 +1,10 @@
+import gc
 import hashlib
+import random
 import re
+import weakref
+
+from pyspark.sql import functions as F
 
 from pithy.llm import decontaminate
 from pithy.llm.queries import QUERIES
@@ -55,3 +60,33 @@ def test_empty_tables(spark):
     items = spark.createDataFrame([], "item_id string, text string")
     assert {r.contaminated for r in decontaminate.digest(decontaminate.find_contamination(odd_docs(spark), items)).collect()} == {False}
     assert decontaminate.find_contamination(odd_docs(spark).where("false"), items).count() == 0
+
+
+def test_many_blocks_one_automaton(spark, monkeypatch):
+    rnd = random.Random(5)
+    word = lambda: f"w{rnd.randrange(300)}é"
+    items = [(f"i{k}", " ".join(word() for _ in range(rnd.choice((1, 4, 10, 14, 30))))) for k in range(120)]
+    texts = []
+    for k in range(150):
+        w = [word() for _ in range(rnd.randrange(0, 60))]
+        for _ in range(rnd.randrange(3)):
+            w[rnd.randrange(len(w) + 1) : 0] = rnd.choice(items)[1].upper().split()
+        texts.append((k, "; ".join(w)))
+    docs = spark.createDataFrame([*texts, (200, None)], "doc_id long, text string").withColumn("SPANS", F.lit(1))
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    alive, most, build = set(), [], decontaminate.load_block
+
+    def one(*args):
+        gc.collect()
+        most.append(sum(1 for x in alive if x() is not None))
+        block = build(*args)
+        alive.add(weakref.ref(block))
+        return block
+
+    whole = {r.doc_id: (r.n_words, r.spans, r["items"]) for r in decontaminate.find_contamination(docs, bench).collect()}
+    monkeypatch.setattr(decontaminate, "load_block", one)
+    size = sum(10 * len(t.encode()) + 64 for _, t in items)
+    got = decontaminate.find_contamination(docs, bench, max_block_bytes=size // 20)
+    assert len(most) >= 20 and max(most) <= 1
+    assert {r.doc_id: (r.n_words, r.spans, r["items"]) for r in got.collect()} == whole
+    assert {r.doc_id: tuple(r)[1:] for r in decontaminate.digest(got).collect()} == brute([*texts, (200, None)], items)
