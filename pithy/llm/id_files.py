@@ -18,8 +18,10 @@ The file format is a table (Parquet, so writing is atomic for each task and any
 follow each other in a shard, ``docs`` lists the documents in a block with the number of their ids in
 it, ``crc32`` is of the ids as little-endian 32-bit integers and is checked at each reading.
 
-Defined cases: null text is the empty text and has only the end id; rows that repeat an id stay in
-the order of the sort; an empty table gives an empty file; a damaged block raises ``ValueError``.
+Defined cases: null text is the empty text and has only the end id; rows that repeat an id
+follow each other in the order of their texts, and rows without an id come first, so a repeated task
+writes the same file; ids of 65,536 and above raise ``ValueError`` (the vocabularies at hand have none);
+an empty table gives an empty file; a damaged block raises ``ValueError``.
 """
 
 from __future__ import annotations
@@ -284,7 +286,7 @@ def _writer(vocab: str, end_id: int):
 def write_ids(docs: DataFrame, path: str, vocab: str, end_id: int, *, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Ids of each text and the end id, in ascending order of the documents' ids, as a file at ``path``."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), text_column(docs, text_col).alias("text"))
-    rows.repartitionByRange("doc").sortWithinPartitions("doc").mapInArrow(_writer(vocab, end_id), ROWS).write.mode("overwrite").parquet(path)
+    rows.repartitionByRange("doc").sortWithinPartitions("doc", "text").mapInArrow(_writer(vocab, end_id), ROWS).write.mode("overwrite").parquet(path)
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

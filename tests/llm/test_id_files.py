@@ -77,3 +77,16 @@ def test_odd_rows_and_reading_back(spark):
     empty = f"{path}-empty"
     id_files.write_ids(docs.where("false"), empty, lexicon.default_path("byte_bpe_50k.json"), 2)
     assert id_files.digest(spark, empty).count() == 0
+
+
+def test_repeated_and_null_ids(spark):
+    rows = [(5, "b"), (5, "a"), (None, "y"), (None, None), (5, "a"), (1, "c")]
+    path = f"{shared_dir(spark)}/ids"
+    id_files.write_ids(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), path, lexicon.default_path("byte_bpe_50k.json"), 2)
+    ordered = sorted(rows, key=lambda r: (r[0] or -1, r[1] or ""))
+    want, start = [], 0
+    for (i, _), (ids, _) in zip(ordered, expected(BYTE, [t or "" for _, t in ordered]), strict=True):
+        some = [*ids, 2]
+        want.append((i, start, len(some), zlib.crc32(np.array(some, "<u4").tobytes())))
+        start += len(some)
+    assert sorted(map(tuple, id_files.digest(spark, path).collect()), key=lambda r: r[1]) == want
