@@ -8,10 +8,14 @@ retained, and of them only those whose gram occurs again anywhere (counted over
 The retained suffixes are range-sorted by (gram, following words, document, position); with the
 document in the key no gram, however frequent, must stay in one task. Of the suffixes of a gram that
 a task holds together (up to ``GROUP``), all windows of ``MIN_WORDS`` words around the gram are
-compared. Where a partition or a group ends and its gram may go on beyond, each window that can reach
-over the border (equal windows have equal words to the right, so the border's record has them too)
-leaves the task once, with the first document that has it, and the windows of all groups are grouped
-by hash. So the result doesn't depend on ``SEGMENT``, ``GROUP`` or the partitions.
+compared. Where a partition or a group ends and its gram may go on beyond, a suffix leaves the task if
+one of its windows can reach over the border (equal windows have equal words to the right, so the
+border's record has them too) and it has the first of those windows there. These suffixes are
+range-sorted a second time, by (gram, preceding words, document, position), and compared likewise: what
+meets only a frequent line on its right is apart there. A window that reaches over a border of either
+sort has words that both borders' records have, so few differ; each leaves its task once, with the
+first document that has it, and they are grouped by hash. So the result doesn't depend on ``SEGMENT``,
+``GROUP`` or the partitions.
 
 Of two equal passages the one with the smaller (document, position) stays, so the first occurrence
 of any passage is never cut. Equal whole texts are one class; only the smallest id is sorted, and a
@@ -33,7 +37,7 @@ from pyspark.sql import types as T
 
 from pithy.llm.arrow import map_slices, raw, release, struct_array, struct_type, text_column, with_struct
 from pithy.llm.near_dup import Shingler, mix
-from pithy.llm.tables import shared_dir, with_class, written
+from pithy.llm.tables import dropped, shared_dir, with_class, written
 
 MIN_WORDS, GRAM = 50, 8
 WINDOW = MIN_WORDS - GRAM + 1
@@ -41,7 +45,9 @@ _U = np.uint64
 
 ANCHORS = struct_type(n_words=T.LongType(), pos=T.ArrayType(T.IntegerType()), gram=T.ArrayType(T.LongType()))
 SUFFIX = "gram long, after binary, before binary, id long, pos int"
-FOUND = "id long, start int, end int, src long, gram long, window long"
+MARK = "id long, start int, end int, src long"
+#: What a task can't decide alone: after the first sort suffixes, after the second windows.
+BY_RIGHT, BY_LEFT = f"{MARK}, gram long, after binary, before binary, pos int", f"{MARK}, gram long, window long"
 
 
 def gram_hashes(words: np.ndarray) -> np.ndarray:
@@ -120,11 +126,12 @@ class Records:
         self.id = np.array([r[3] for r in rows], np.int64)
         self.pos = np.array([r[4] for r in rows], np.int64)
 
-    def common(self, i: np.ndarray, border: int) -> np.ndarray:
-        """Equal words to the right of records i and of one more."""
-        same = self.after[i] == self.after[border]
-        run = np.where(same.all(1), MIN_WORDS, same.argmin(1))
-        return np.minimum(run, np.minimum(self.n_after[i], self.n_after[border]))
+    def common(self, i: np.ndarray, border: int, side: str) -> np.ndarray:
+        """Equal words on one side of records i and of one more."""
+        words, lens = (self.after, self.n_after) if side == "after" else (self.before, self.n_before)
+        same = words[i] == words[border]
+        run = np.where(same.all(1), words.shape[1], same.argmin(1))
+        return np.minimum(run, np.minimum(lens[i], lens[border]))
 
 
 class Marks:
@@ -152,19 +159,20 @@ def _prefixes(m: np.ndarray) -> np.ndarray:
     return out
 
 
-def _windows(marks: Marks, reach: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+def _windows(marks: Marks, least: np.ndarray, most: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Exact check among records that are at hand together: all windows of MIN_WORDS words around each gram.
 
     All windows containing the gram lie in one interval, so their union is again one passage.
 
-    ``reach``: how many words to the right a record shares with one at an open border. Yields (id,
-    start, end, gram, window) of the windows within reach, each as its first document here has it
-    (places that touch are one); the others that have it are marked.
+    Marks the records that have a window after another document here. Yields (words before the gram,
+    records, hashes) of the windows that the first document here has and that other tasks may have:
+    those with ``least`` to ``most`` words before the gram.
     """
     r = marks.recs
     order = np.lexsort((r.pos, r.id))  # then the first of equal windows is the earliest
     before, after, gram = _prefixes(r.before[order]), _prefixes(r.after[order]), mix(r.gram[order].view(np.uint64))
     ids, pos, n_before, n_after = r.id[order], r.pos[order], r.n_before[order], r.n_after[order]
+    least, most = least[order], most[order]
     for left in range(WINDOW):
         right = MIN_WORDS - left
         ok = np.flatnonzero((n_before >= left) & (n_after >= right))
@@ -176,27 +184,48 @@ def _windows(marks: Marks, reach: np.ndarray) -> Iterator[tuple[np.ndarray, ...]
         late = ids[head] != ids[ok]
         at = ok[late]
         marks.add(order[at], pos[at] - left, pos[at] + right, ids[head[late]])
-        out = ~late & (reach[order[ok]] >= right)
-        at = ok[out]
-        if not len(at):
-            continue
-        by = np.argsort(key[out], kind="stable")
-        at, key, start = at[by], key[out][by], pos[at[by]] - left
-        cut = np.flatnonzero((key[1:] != key[:-1]) | (start[1:] > start[:-1] + MIN_WORDS))  # a line that repeats overlaps itself
-        head, tail = np.append(0, cut + 1), np.append(cut, len(at) - 1)
-        yield ids[at[head]], start[head], start[tail] + MIN_WORDS, r.gram[order[at[head]]], key[head].view(np.int64)
+        out = ~late & (least[ok] <= left) & (left <= most[ok])
+        if out.any():
+            yield left, order[ok[out]], key[out]
 
 
-def _reach(recs: Records, low: bool, high: bool) -> np.ndarray:
-    """Words to the right that records share with the first or last one, where the stream may go on beyond it with the same gram."""
-    reach = np.zeros(len(recs.rows), np.int64)
+def _reach(recs: Records, low: bool, high: bool, side: str) -> np.ndarray:
+    """Words on one side that records share with the first or last one, where the stream may go on beyond it with the same gram; else -1."""
+    reach = np.full(len(recs.rows), -1)
     for border, is_open in ((0, low), (len(recs.rows) - 1, high)):
         if is_open:
             at = np.flatnonzero(recs.gram == recs.gram[border])
-            reach[at] = np.maximum(reach[at], recs.common(at, border))
+            reach[at] = np.maximum(reach[at], recs.common(at, border, side))
     return reach
 
 
+def compare_by_right(rows: list[tuple], low: bool, high: bool) -> tuple[list[tuple], list[list]]:
+    """Passages found among suffixes sorted by the words after the gram, and the suffixes that may share more beyond a border, with the words after it as far as they can."""
+    recs = Records(rows)
+    marks = Marks(recs)
+    reach = _reach(recs, low, high, "after")
+    go = np.zeros(len(rows), bool)
+    for _, at, _ in _windows(marks, MIN_WORDS - reach, np.full(len(rows), WINDOW)):
+        go[at] = True
+    left = [(rows[k][0], rows[k][1][: 4 * reach[k]], rows[k][2], rows[k][3], rows[k][4]) for k in np.flatnonzero(go).tolist()]
+    return marks.rows(), [[i, None, None, None, gram, after, before, pos] for gram, after, before, i, pos in left]
+
+
+def compare_by_left(rows: list[tuple], low: bool, high: bool) -> tuple[list[tuple], list[list]]:
+    """Passages found among suffixes sorted by the words before the gram, and the windows that may be found beyond a border too."""
+    recs = Records(rows)
+    marks = Marks(recs)
+    out: list[list] = []
+    for left, at, key in _windows(marks, np.zeros(len(rows)), _reach(recs, low, high, "before")):
+        by = np.argsort(key, kind="stable")
+        at, key, start = at[by], key[by], recs.pos[at[by]] - left
+        cut = np.flatnonzero((key[1:] != key[:-1]) | (start[1:] > start[:-1] + MIN_WORDS))  # a line that repeats overlaps itself
+        head, tail = np.append(0, cut + 1), np.append(cut, len(at) - 1)
+        cols = (recs.id[at[head]], start[head], start[tail] + MIN_WORDS, recs.gram[at[head]], key[head].view(np.int64))
+        out += [[i, s, e, None, g, w] for i, s, e, g, w in zip(*(c.tolist() for c in cols), strict=True)]
+    return marks.rows(), out
+
+
 #: Records that are compared together, and the most of one gram.
 SEGMENT, GROUP = 4096, 1 << 15
 
@@ -224,19 +253,10 @@ def segments(batches: Iterator[list[tuple]], segment: int = SEGMENT, group: int
         yield held, low, True
 
 
-def compare_sorted(batches: Iterator[list[tuple]], segment: int = SEGMENT, group: int = GROUP) -> Iterator[tuple[list[tuple], list[tuple[np.ndarray, ...]]]]:
-    """Passages (id, start, end, src) found in a sorted stream of suffix records, and windows (id, start, end, gram, window) that may be found beyond a border too."""
-    for rows, low, high in segments(batches, segment, group):
-        recs = Records(rows)
-        marks = Marks(recs)
-        open_ = list(_windows(marks, _reach(recs, low, high)))
-        yield marks.rows(), open_
-
-
-def _neighbours(batches: Iterator[pa.RecordBatch], segment: int, group: int) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-    names = [c.split()[0] for c in FOUND.split(", ")]
-    batch_of = lambda cols, n: pa.RecordBatch.from_arrays([pa.nulls(n, k) if c is None else pa.array(c, type=k) for c, k in zip(cols, kinds, strict=True)], names=names)
+def _compare(batches: Iterator[pa.RecordBatch], compare, kind: str, segment: int, group: int) -> Iterator[pa.RecordBatch]:
+    """Rows of ``kind``: passages found in a sorted stream of suffix records, and what may be found beyond a border too."""
+    names, types = zip(*(c.split() for c in kind.split(", ")), strict=True)
+    arrow = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
 
     def rows():
         for batch in batches:
@@ -244,14 +264,19 @@ def _neighbours(batches: Iterator[pa.RecordBatch], segment: int, group: int) ->
                 part = batch.slice(at, segment)
                 yield list(zip(*[part[c].to_pylist() for c in ("gram", "after", "before", "id", "pos")], strict=True))
 
-    for found, open_ in compare_sorted(rows(), segment, group):
-        if found:
-            yield batch_of([*zip(*found, strict=True), None, None], len(found))
-        for i, start, end, gram, window in open_:
-            yield batch_of([i, start.astype(np.int32), end.astype(np.int32), None, gram, window], len(i))
+    for held, low, high in segments(rows(), segment, group):
+        found, open_ = compare(held, low, high)
+        every = [[*f, *[None] * (len(names) - 4)] for f in found] + open_
+        if every:
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=arrow[t]) for c, t in zip(zip(*every, strict=True), types, strict=True)], names=list(names))
     release()
 
 
+def _sorted_and_compared(suffixes: DataFrame, by: str, compare, kind: str, segment: int, group: int) -> DataFrame:
+    order = ["gram", by, "id", "pos"]
+    return suffixes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lambda batches: _compare(batches, compare, kind, segment, group), kind)
+
+
 def _merged(spans: pa.Array) -> pa.Array:
     """Unions of overlapping or touching spans (start, end, src), with the smallest source."""
     out = []
@@ -280,12 +305,14 @@ def passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     again = written(each.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), f"{folder}/again")
     places = written(each.join(again, "gram", "left_semi").groupBy("id").agg(F.sort_array(F.collect_list("pos")).alias("pos")), f"{folder}/places")
     suffixes = written(base.join(places, "id").select("id", "text", "pos").mapInArrow(_suffixes, SUFFIX), f"{folder}/suffixes")
-    order = ["gram", "after", "id", "pos"]
-    found = written(suffixes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lambda batches: _neighbours(batches, segment, group), FOUND), f"{folder}/found")
-    open_ = found.where("src is null").drop("src")
+    right = written(_sorted_and_compared(suffixes, "after", compare_by_right, BY_RIGHT, segment, group), f"{folder}/right")
+    dropped(spark, f"{folder}/suffixes", f"{folder}/places", f"{folder}/again")
+    left = written(_sorted_and_compared(right.where("src is null").select("gram", "after", "before", "id", "pos"), "before", compare_by_left, BY_LEFT, segment, group), f"{folder}/left")
+    open_ = left.where("src is null").drop("src")
     shared = written(open_.groupBy("gram", "window").agg(F.min("id").alias("src"), F.max("id").alias("last")).where("src < last").drop("last"), f"{folder}/shared")
     beyond = open_.join(shared, ["gram", "window"]).where("id > src")
-    hits = found.where("src is not null").select("id", "start", "end", "src").unionByName(beyond.select("id", "start", "end", "src"))
+    mark = ["id", "start", "end", "src"]
+    hits = right.where("src is not null").select(*mark).unionByName(left.where("src is not null").select(*mark)).unionByName(beyond.select(*mark))
     span = F.struct("start", "end", "src")
     kind = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("src", T.LongType())]))
     _merged.__annotations__ = {"spans": pa.Array, "return": pa.Array}
