@@ -198,8 +198,11 @@ def ids_array(rows: list[list[tuple[int, ...]]]) -> pa.Array:
 _HELD: dict[str, Bpe] = {}
 
 
-def _held(vocab: str):
+def _held(vocab: str, keep: bool = True):
     def bpe() -> Bpe:
+        if not keep:
+            _HELD.clear()
+            return Bpe(vocab)
         if vocab not in _HELD:
             _HELD.clear()
             _HELD[vocab] = Bpe(vocab)
@@ -219,11 +222,13 @@ def decode_column(vocab: str, ids: Column) -> Column:
     return map_slices(lambda part, b: pa.array([None if x is None else b.decode(x) for x in part.to_pylist()], type=pa.string()), T.StringType(), _held(vocab))(ids)
 
 
-def encode_decode(df: DataFrame, vocab: str, *, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
+def encode_decode(df: DataFrame, vocab: str, *, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded", keep: bool = True) -> DataFrame:
     """``df`` with the ids of each text and the text decoded from exactly those ids, in one pass.
 
     Where decoding joins tokens, the text of an id tuple is kept beside the piece, so that decoding
-    a known piece is one look-up as well.
+    a known piece is one look-up as well. Without ``keep`` a worker gives its encoder and tables back at
+    the end of each task: Spark hands tasks to its waiting workers in turn, so after operators that
+    had several workers on a core each of them would hold an encoder.
     """
 
     def run(part: pa.Array, b: Bpe) -> pa.Array:
@@ -235,4 +240,4 @@ def encode_decode(df: DataFrame, vocab: str, *, text_col: str = "text", ids_col:
             decoded = [" ".join(map(table.__getitem__, r)) for r in rows]
         return struct_array(RESULT, ids_array(rows), decoded)
 
-    return with_struct(df, map_slices(run, RESULT, _held(vocab))(text_column(df, text_col)), {ids_col: "ids", decoded_col: "decoded"})
+    return with_struct(df, map_slices(run, RESULT, _held(vocab, keep))(text_column(df, text_col)), {ids_col: "ids", decoded_col: "decoded"})

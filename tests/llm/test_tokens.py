@@ -27,6 +27,12 @@ def test_encode_decode_equals_library(spark, path):
     assert got[0].kept == "clash"
 
 
+def test_encoder_given_back(spark):
+    docs = odd_docs(spark).repartition(3)
+    kept, given = ({r.doc_id: (r.ids, r.decoded) for r in bpe.encode_decode(docs, WORD, keep=k).collect()} for k in (True, False))
+    assert kept == given
+
+
 @pytest.mark.parametrize("path", [WORD, BYTE])
 def test_pair_index_on_random_text(path):
     rnd = random.Random(5)
