@@ -54,7 +54,7 @@ def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each text, their number, and the hash of the text decoded from them."""
-    both = bpe.encode_decode(docs, lexicon.default_path(VOCAB))
+    both = bpe.encode_decode(docs, lexicon.default_path(VOCAB), keep=False)
     return both.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
