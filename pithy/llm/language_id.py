@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -89,15 +90,6 @@ class Model:
     sharpness: float = 1.0
 
 
-def find(keys: np.ndarray, values: np.ndarray, want: np.ndarray, default: float) -> np.ndarray:
-    """Values of ``want`` in a sorted hash array."""
-    if not len(keys):
-        return np.full(len(want), default)
-    at = np.searchsorted(keys, want)
-    at[at == len(keys)] = 0
-    return np.where(keys[at] == want, values[at], default)
-
-
 def fit_language(counts: Counter, letters: int) -> list[Level]:
     """Interpolated Kneser-Ney over a bag of words: raw counts at the top and for n-grams that begin a word, continuation counts below."""
     words = list(counts)
@@ -133,23 +125,52 @@ def fit_language(counts: Counter, letters: int) -> list[Level]:
     return levels
 
 
-def word_scores(model: Model, words: list[str]) -> np.ndarray:
+class Index:
+    """The arrays of all languages for look-ups: for each order the union of their sorted hashes, with a row of values for each language."""
+
+    def __init__(self, model: Model):
+        self.letters, self.langs = model.letters, len(model.langs)
+        self.grams = [self._union([(lv[k].grams, lv[k].mass) for lv in model.levels], 0.0) for k in range(ORDER)] if model.levels else []
+        self.contexts = [self._union([(lv[k].contexts, lv[k].backoff) for lv in model.levels], 1.0) for k in range(ORDER)] if model.levels else []
+
+    @staticmethod
+    def _union(parts: list[tuple[np.ndarray, np.ndarray]], default: float) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted hashes, and the values with a last column for hashes that no language has."""
+        keys = np.unique(np.concatenate([k for k, _ in parts]))
+        values = np.full((len(parts), len(keys) + 1), default)
+        for row, (k, v) in zip(values, parts, strict=True):
+            row[np.searchsorted(keys, k)] = v
+        return keys, values
+
+
+def find(keys: np.ndarray, want: np.ndarray) -> np.ndarray:
+    """Places of ``want`` in a sorted hash array, its length where they are absent; equal hashes are searched once, in order."""
+    some, of = np.unique(want, return_inverse=True)
+    at = np.searchsorted(keys, some)
+    if len(keys):
+        at[keys[np.minimum(at, len(keys) - 1)] != some] = len(keys)
+    return at[of]
+
+
+def word_scores(model: Model, words: list[str], index: Index | None = None) -> np.ndarray:
     """For each word the log-probability of its characters and its end in each language, and the number of characters."""
+    index = index or Index(model)
     codes = char_codes(words)
     depth, hashes = gram_hashes(codes)
     at = np.arange(1, len(codes))
     word_no = (np.cumsum(codes == 32) - 1)[at]
     word_no = np.where(codes[at] == 32, word_no - 1, word_no)
-    out = np.zeros((len(words), len(model.langs) + 1))
-    for j, levels in enumerate(model.levels):
-        p = np.full(len(at), 1.0 / model.letters)
-        for k, level in enumerate(levels, 1):
-            ok = np.flatnonzero(depth[at] >= k - 1)
-            here = at[ok]
-            context = np.zeros(len(here), np.uint64) if k == 1 else hashes[k - 2][here - 1]
-            back = find(level.contexts, level.backoff, context, 1.0)
-            p[ok] = find(level.grams, level.mass, hashes[k - 1][here], 0.0) + back * p[ok]
-        out[:, j] = np.bincount(word_no, np.log(np.maximum(p, 1e-12)), len(words))
+    out = np.zeros((len(words), index.langs + 1))
+    p = np.full((index.langs, len(at)), 1.0 / index.letters)
+    for k, ((grams, mass), (contexts, backoff)) in enumerate(zip(index.grams, index.contexts, strict=True), 1):
+        ok = np.flatnonzero(depth[at] >= k - 1)
+        here = at[ok]
+        gram = find(grams, hashes[k - 1][here])
+        context = find(contexts, np.zeros(len(here), np.uint64) if k == 1 else hashes[k - 2][here - 1])
+        for j in range(index.langs):
+            p[j, ok] = mass[j, gram] + backoff[j, context] * p[j, ok]
+    for j in range(index.langs):
+        out[:, j] = np.bincount(word_no, np.log(np.maximum(p[j], 1e-12)), len(words))
     out[:, -1] = np.bincount(word_no, minlength=len(words))
     return out
 
@@ -158,7 +179,7 @@ class Scorer:
     """Cross-entropies of texts, with a bounded table of chunks between spaces."""
 
     def __init__(self, model: Model):
-        self.model = model
+        self.model, self.index = model, Index(model)
         self.row: dict[str, int] = {}
         self.rows = np.zeros((0, len(model.langs) + 1))
 
@@ -167,10 +188,10 @@ class Scorer:
 
     def _learn(self, chunks: list[str]) -> None:
         parts = [_LETTERS.findall(c) for c in chunks]
-        words = list(dict.fromkeys(w for p in parts for w in p))
+        words = list(dict.fromkeys(chain.from_iterable(parts)))
         place = {w: i for i, w in enumerate(words)}
-        scores = word_scores(self.model, words) if words else self.rows[:0]
-        flat = np.fromiter((place[w] for p in parts for w in p), np.int64)
+        scores = word_scores(self.model, words, self.index) if words else self.rows[:0]
+        flat = np.fromiter(map(place.__getitem__, chain.from_iterable(parts)), np.int64)
         owner = np.repeat(np.arange(len(chunks)), [len(p) for p in parts])
         rows = np.zeros((len(chunks), scores.shape[1]))
         for j in range(rows.shape[1]):
@@ -189,7 +210,7 @@ class Scorer:
         if new:
             self._learn(list(new))
         lens = np.array([len(c) for c in cut])
-        flat = np.fromiter((self.row[w] for c in cut for w in c), np.int64, int(lens.sum()))
+        flat = np.fromiter(map(self.row.__getitem__, chain.from_iterable(cut)), np.int64, int(lens.sum()))
         owner = np.repeat(np.arange(len(cut)), lens)
         out = np.stack([np.bincount(owner, self.rows[flat, j], len(cut)) for j in range(self.rows.shape[1])], axis=1) if len(flat) else np.zeros((len(cut), len(self.model.langs) + 1))
         for w in [w for w in new if len(w) > KEPT_CHARS]:
