@@ -10,8 +10,11 @@ document in the key no gram, however frequent, must stay in one task. Of the suf
 a task holds together (up to ``GROUP``), all windows of ``MIN_WORDS`` words around the gram are
 compared. Where a partition or a group ends and its gram may go on beyond, each window that can reach
 over the border (equal windows have equal words to the right, so the border's record has them too)
-leaves the task once, with the first document that has it, and the windows of all groups are grouped
-by hash. So the result doesn't depend on ``SEGMENT``, ``GROUP`` or the partitions.
+leaves the task once, with the first document that has it. The windows of a record leave in few rows,
+one for each range of ``EDGES`` that their words left of the gram fall in, under a hash of the words
+that all windows of the row have left of the gram. Equal windows have equal such words, so only rows
+whose hash another document has too are laid out window by window, and these are grouped by hash.
+So the result doesn't depend on ``SEGMENT``, ``GROUP``, ``EDGES`` or the partitions.
 
 Of two equal passages the one with the smaller (document, position) stays, so the first occurrence
 of any passage is never cut. Equal whole texts are one class; only the smallest id is sorted, and a
@@ -41,7 +44,9 @@ _U = np.uint64
 
 ANCHORS = struct_type(n_words=T.LongType(), pos=T.ArrayType(T.IntegerType()), gram=T.ArrayType(T.LongType()))
 SUFFIX = "gram long, after binary, before binary, id long, pos int"
-FOUND = "id long, start int, end int, src long, gram long, window long"
+FOUND = "id long, start int, end int, src long, gram long, context long, starts array<int>, ends array<int>, windows array<long>"
+#: Words left of the gram at which the rows of open windows begin.
+EDGES = (0, 1, 2, *range(4, WINDOW, 4))
 
 
 def gram_hashes(words: np.ndarray) -> np.ndarray:
@@ -158,8 +163,8 @@ def _windows(marks: Marks, reach: np.ndarray) -> Iterator[tuple[np.ndarray, ...]
     All windows containing the gram lie in one interval, so their union is again one passage.
 
     ``reach``: how many words to the right a record shares with one at an open border. Yields (id,
-    start, end, gram, window) of the windows within reach, each as its first document here has it
-    (places that touch are one); the others that have it are marked.
+    start, end, gram, context, window) of the windows within reach, each as its first document here has
+    it (places that touch are one); the others that have it are marked.
     """
     r = marks.recs
     order = np.lexsort((r.pos, r.id))  # then the first of equal windows is the earliest
@@ -184,7 +189,19 @@ def _windows(marks: Marks, reach: np.ndarray) -> Iterator[tuple[np.ndarray, ...]
         at, key, start = at[by], key[out][by], pos[at[by]] - left
         cut = np.flatnonzero((key[1:] != key[:-1]) | (start[1:] > start[:-1] + MIN_WORDS))  # a line that repeats overlaps itself
         head, tail = np.append(0, cut + 1), np.append(cut, len(at) - 1)
-        yield ids[at[head]], start[head], start[tail] + MIN_WORDS, r.gram[order[at[head]]], key[head].view(np.int64)
+        edge = max(e for e in EDGES if e <= left)
+        context = mix(before[edge][at[head]] + _U(edge + 1))
+        yield ids[at[head]], start[head], start[tail] + MIN_WORDS, r.gram[order[at[head]]], context.view(np.int64), key[head].view(np.int64)
+
+
+def _packed(open_: list[tuple[np.ndarray, ...]]) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray]]:
+    """Open windows by (id, gram, context): these three of each row, where the rows begin, and (start, end, window) in the order of rows."""
+    ids, start, end, gram, context, window = (np.concatenate(c) for c in zip(*open_, strict=True))
+    by = np.lexsort((context, gram, ids))
+    ids, gram, context = ids[by], gram[by], context[by]
+    new = np.append(True, (ids[1:] != ids[:-1]) | (gram[1:] != gram[:-1]) | (context[1:] != context[:-1]))
+    begin = np.flatnonzero(new)
+    return [ids[begin], gram[begin], context[begin]], np.append(begin, len(ids)).astype(np.int32), [start[by].astype(np.int32), end[by].astype(np.int32), window[by]]
 
 
 def _reach(recs: Records, low: bool, high: bool) -> np.ndarray:
@@ -225,7 +242,7 @@ def segments(batches: Iterator[list[tuple]], segment: int = SEGMENT, group: int
 
 
 def compare_sorted(batches: Iterator[list[tuple]], segment: int = SEGMENT, group: int = GROUP) -> Iterator[tuple[list[tuple], list[tuple[np.ndarray, ...]]]]:
-    """Passages (id, start, end, src) found in a sorted stream of suffix records, and windows (id, start, end, gram, window) that may be found beyond a border too."""
+    """Passages (id, start, end, src) found in a sorted stream of suffix records, and windows (id, start, end, gram, context, window) that may be found beyond a border too."""
     for rows, low, high in segments(batches, segment, group):
         recs = Records(rows)
         marks = Marks(recs)
@@ -234,9 +251,9 @@ def compare_sorted(batches: Iterator[list[tuple]], segment: int = SEGMENT, group
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch], segment: int, group: int) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())]
     names = [c.split()[0] for c in FOUND.split(", ")]
-    batch_of = lambda cols, n: pa.RecordBatch.from_arrays([pa.nulls(n, k) if c is None else pa.array(c, type=k) for c, k in zip(cols, kinds, strict=True)], names=names)
+    batch_of = lambda cols, n: pa.RecordBatch.from_arrays([pa.nulls(n, k) if c is None else c if isinstance(c, pa.Array) else pa.array(c, type=k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
     def rows():
         for batch in batches:
@@ -246,9 +263,11 @@ def _neighbours(batches: Iterator[pa.RecordBatch], segment: int, group: int) ->
 
     for found, open_ in compare_sorted(rows(), segment, group):
         if found:
-            yield batch_of([*zip(*found, strict=True), None, None], len(found))
-        for i, start, end, gram, window in open_:
-            yield batch_of([i, start.astype(np.int32), end.astype(np.int32), None, gram, window], len(i))
+            yield batch_of([*zip(*found, strict=True), None, None, None, None, None], len(found))
+        if open_:
+            (ids, gram, context), begin, values = _packed(open_)
+            lists = [pa.ListArray.from_arrays(pa.array(begin), pa.array(v)) for v in values]
+            yield batch_of([ids, None, None, None, gram, context, *lists], len(ids))
     release()
 
 
@@ -282,7 +301,11 @@ def passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     suffixes = written(base.join(places, "id").select("id", "text", "pos").mapInArrow(_suffixes, SUFFIX), f"{folder}/suffixes")
     order = ["gram", "after", "id", "pos"]
     found = written(suffixes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lambda batches: _neighbours(batches, segment, group), FOUND), f"{folder}/found")
-    open_ = found.where("src is null").drop("src")
+    rows = found.where("src is null").select("id", "gram", "context", "starts", "ends", "windows")
+    contexts = rows.groupBy("gram", "context").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most")
+    contexts = written(contexts.select("gram", "context", "n", F.lit(True).alias("again")), f"{folder}/contexts")
+    laid = with_class(rows, contexts, ["gram", "context"], "n").where("again").select("id", "gram", F.explode(F.arrays_zip("starts", "ends", "windows")).alias("w"))
+    open_ = written(laid.select("id", "gram", F.col("w.starts").alias("start"), F.col("w.ends").alias("end"), F.col("w.windows").alias("window")), f"{folder}/open")
     shared = written(open_.groupBy("gram", "window").agg(F.min("id").alias("src"), F.max("id").alias("last")).where("src < last").drop("last"), f"{folder}/shared")
     beyond = open_.join(shared, ["gram", "window"]).where("id > src")
     hits = found.where("src is not null").select("id", "start", "end", "src").unionByName(beyond.select("id", "start", "end", "src"))
