@@ -1,4 +1,6 @@
+import math
 import random
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pytest
@@ -338,3 +340,26 @@ def test_generated_texts(spark):
     agent.append("Assistant: Final answer: the bottleneck is a missing index.")
     assert digest["agent_transcript"] == hashlib.sha256("\n".join(agent).encode()).hexdigest()[:12]
     assert len(set(digest.values())) == 4
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def test_edges_stay_in_their_document(spark, monkeypatch):
+    """Only texts are shuffled, once; rows with equal ids are one document, and rows without an id have no edges."""
+    rows = [(1, "Red fox runs. Blue fox sleeps.\n\nNo match here"), (2, "one"), (1, "Fox eats. İstanbul sleeps fox. ²x"), (None, "a b c. b c d."), (3, None), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    done = rank.cosine_edges(df, "doc_id", "text")
+    assert exchanges(done) == 1 and "Join" not in done._jdf.queryExecution().executedPlan().toString()
+    bags = [Counter("red fox runs fox eats".split()), Counter(["blue", "fox", "sleeps", "İstanbul".lower(), "sleeps", "fox"]), Counter("no match here ²x".split())]
+    norm = [math.sqrt(sum(n * n for n in bag.values())) for bag in bags]
+    dot = sum(n * bags[1][w] for w, n in bags[0].items())
+    want = [(1, 0, 1, dot / (norm[0] * norm[1]))]
+    assert [tuple(r) for r in done.collect()] == want
+    some = [rank.Terms() for _ in range(2)]
+    for held, terms in zip((1, 1 << 20), some, strict=True):  # counts added up early and late
+        monkeypatch.setattr(rank, "HELD_TERMS", held)
+        for _, text in rows[:3]:
+            terms.add(rank.split(text))
+    assert [[*map(list, t.table())] for t in some][0] == [[*map(list, t.table())] for t in some][1]
