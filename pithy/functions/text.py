@@ -41,18 +41,6 @@ def phrases(line: Column) -> Column:
     return F.split(line, rf"(?<={P.STOP}){P.WS}+", -1)
 
 
-def sentences(text: Column) -> Column:
-    """Stripped sentences of a whole text without empty ones; a line end counts as a full stop only before more white space."""
-    pieces = F.split(text, rf"(?<=[.!?。！？\n]){P.WS}+", -1)
-    return F.filter(F.transform(pieces, strip), lambda s: s != "")
-
-
 def normalized(phrase: Column) -> Column:
     """Stripped, lower-cased, white space squeezed."""
     return F.regexp_replace(F.lower(strip(phrase)), f"{P.WS}+", " ")
-
-
-def terms(sentence: Column) -> Column:
-    """Lower-cased words without stopwords, repeats kept."""
-    stop = F.array(*[F.lit(w) for w in P.STOPWORDS])
-    return F.filter(F.transform(F.regexp_extract_all(sentence, F.lit(P.WORD), 0), F.lower), lambda w: ~F.array_contains(stop, w))

@@ -363,3 +363,12 @@ def test_edges_stay_in_their_document(spark, monkeypatch):
         for _, text in rows[:3]:
             terms.add(rank.split(text))
     assert [[*map(list, t.table())] for t in some][0] == [[*map(list, t.table())] for t in some][1]
+
+
+def test_terms_are_counted_in_their_document(spark):
+    """Only texts are shuffled, once; rows with equal ids are one document, also those without an id."""
+    df = spark.createDataFrame([(1, "Fox fox. Dog"), (1, "A fox. Dog! Fox"), (None, "Fox"), (None, "dog. fox"), (2, None), (3, "the of")], "doc_id long, text string")
+    done = rank.document_terms(df, "doc_id", "text")
+    assert exchanges(done) == 1
+    assert {tuple(r) for r in done.collect()} == {(1, "fox", 4, 2), (1, "dog", 2, 1), (None, "fox", 2, 2), (None, "dog", 1, 1)}
+    assert {tuple(r) for r in rank.term_counts(df, "doc_id", "text").collect()} == {(1, 0, "fox", 3), (1, 1, "dog", 2), (1, 2, "fox", 1), (None, 0, "fox", 1), (None, 0, "dog", 1), (None, 1, "fox", 1)}
