@@ -372,3 +372,24 @@ def test_terms_are_counted_in_their_document(spark):
     assert exchanges(done) == 1
     assert {tuple(r) for r in done.collect()} == {(1, "fox", 4, 2), (1, "dog", 2, 1), (None, "fox", 2, 2), (None, "dog", 1, 1)}
     assert {tuple(r) for r in rank.term_counts(df, "doc_id", "text").collect()} == {(1, 0, "fox", 3), (1, 1, "dog", 2), (1, 2, "fox", 1), (None, 0, "fox", 1), (None, 0, "dog", 1), (None, 1, "fox", 1)}
+
+
+def test_matcher_stops_early(monkeypatch):
+    """Answers are those of the whole ratio, and long lines that share no long block cost few searches."""
+    rng = random.Random(5)
+    calls = []
+    find = SequenceMatcher.find_longest_match
+    monkeypatch.setattr(SequenceMatcher, "find_longest_match", lambda self, *a: calls.append(a) or find(self, *a))
+    whole = early = 0
+    for k in range(400):
+        a = "".join(rng.choice("abcdef ") for _ in range(rng.randrange(0, 300)))
+        b = "".join(c for c in a if rng.random() > 0.04) if k % 2 else "".join(rng.sample(a, len(a)))
+        for threshold in (0.0, 0.6, 0.92, 1.0):
+            calls.clear()
+            want = SequenceMatcher(None, a, b).ratio() >= threshold
+            whole += len(calls)
+            calls.clear()
+            monkeypatch.setattr(fold, "SHORT", 4096 if k % 3 else 0)
+            assert fold.similar(a, b, threshold) == want
+            early += len(calls)
+    assert early < whole / 4
