@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pithy.config import TrimConfig
-from pithy.operators.fold import arrow_text
+from pithy.operators.fold import arrow_text, small_batches
 
 
 def capped(value, depth: int, config: TrimConfig):
@@ -43,5 +43,6 @@ def reshape(df: DataFrame, text: str, ok: str, config: TrimConfig | None = None)
     kind = T.StructType([T.StructField("text", T.StringType()), T.StructField("ok", T.BooleanType())])
     arrow = pa.struct([("text", pa.string()), ("ok", pa.bool_())])
     udf = arrow_text(lambda t: dict(zip(("text", "ok"), reshape_text(t, config), strict=True)), kind, arrow)
+    small_batches(df)
     step = df.withColumn("__j", udf(F.col(text)))
     return step.withColumn(ok, F.col("__j.ok")).withColumn(text, F.col("__j.text")).drop("__j")

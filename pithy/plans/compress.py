@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pithy.config import CompressionConfig
 from pithy.functions.counters import TokenCounter
 from pithy.operators import dedup, findings, jsonshape, noise, phrases, rank, trim
+from pithy.operators.fold import small_batches
 
 Stage = tuple[str, Callable[[DataFrame, str, str], DataFrame]]
 _REPORT = "array<struct<name:string,chars_before:int,chars_after:int,chars_removed:int,details:map<string,bigint>>>"
@@ -35,6 +36,7 @@ def compress(df: DataFrame, text_col: str = "text", config: CompressionConfig |
     """``df`` with ``out`` (the compressed text) and ``stats``; null texts stay null."""
     config = config or CompressionConfig()
     count = counter or TokenCounter(config.model, config.token_backend)
+    small_batches(df)
     t = "__t"
     step = df.drop(out, stats).withColumn(t, F.col(f"`{text_col}`").cast("string"))
     step = step.withColumn("__chars", F.length(t)).withColumn("__tokens", count(F.col(t)))

@@ -393,3 +393,11 @@ def test_matcher_stops_early(monkeypatch):
             assert fold.similar(a, b, threshold) == want
             early += len(calls)
     assert early < whole / 4
+
+
+@pytest.mark.parametrize("build", [lambda df: plan.compress(df), lambda df: plan.compress_json(df), lambda df: jsonshape.reshape(df, "text", "ok"), lambda df: dedup.drop_near(df, "text", "n"), lambda df: rank.summarize(df, "text"), lambda df: rank.rank_scores(df, "doc_id", "text")])
+def test_workers_get_small_batches(spark, build):
+    """Whatever the table, a worker holds a few megabytes of texts at a time."""
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    build(frame(spark, "some text."))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == 4 << 20
