@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pithy.config import CompressionConfig, NoiseConfig, RedundancyConfig, TrimConfig
+from pithy.functions import patterns as P
 from pithy.functions import text as X
 from pithy.operators import dedup, findings, fold, jsonshape, noise, phrases, rank, trim
 from pithy.plans import compress as plan
@@ -401,3 +402,13 @@ def test_workers_get_small_batches(spark, build):
     spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
     build(frame(spark, "some text."))
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == 4 << 20
+
+
+def test_strip_scans_no_text(spark):
+    """All white space goes from both ends, as with Python's strings, by a trim that looks at the ends only."""
+    spaces = [chr(c) for c in range(0x11000) if chr(c).isspace()]
+    assert sorted(P.SPACES) == spaces
+    made = [f"{c}{c} a{c}b\n{c}" for c in spaces] + ["", " ", "".join(spaces), "é​", "᠎x᠎"]
+    done = frame(spark, *made).select("doc_id", "text", X.strip(F.col("text")).alias("t"), F.col("text").rlike(P.java(rf"\A{P.WS}*\z")).alias("blank"))
+    assert all(r.t == r.text.strip() and r.blank == (not r.t) for r in done.collect())
+    assert "regexp" not in done.select("t")._jdf.queryExecution().optimizedPlan().toString()
