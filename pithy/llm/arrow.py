@@ -13,7 +13,7 @@ import sys
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,6 +47,11 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of a session, and with them the memory of workers."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def with_struct(df: DataFrame, value: Column, fields: dict[str, str], drop: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with the fields {new name: field of the struct column ``value``}.
 
@@ -54,7 +59,7 @@ def with_struct(df: DataFrame, value: Column, fields: dict[str, str], drop: tupl
     """
     gone = {name.lower() for name in (*fields, *drop)}
     tmp = "__pithy_struct"
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    small_batches(df.sparkSession)
     kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in gone and c != tmp]
     step = df.select(*kept, value.alias(tmp))
     return step.select(*kept, *[F.col(f"{tmp}.{field}").alias(name) for name, field in fields.items()])

@@ -90,3 +90,31 @@ def test_repeated_and_null_ids(spark):
         want.append((i, start, len(some), zlib.crc32(np.array(some, "<u4").tobytes())))
         start += len(some)
     assert sorted(map(tuple, id_files.digest(spark, path).collect()), key=lambda r: r[1]) == want
+
+
+def test_pieces_are_learnt_together():
+    enc = id_files.Encoder(lexicon.default_path("byte_bpe_50k.json"))
+    calls, library = [], enc.ids
+
+    def counted(some):
+        calls.append(len(some))
+        return library(some)
+
+    enc.ids = counted
+    texts = [" ".join(f"wörd{k}a{k % 7}<|endoftext|>" if k % 50 == 0 else f"word{k * 7919}," for k in range(3000)), "  two  blanks \n x \x1c y\x85 z", " lead", "", "漢 字\u3000か な "]
+    got = [np.frombuffer(b, "<u4").tolist() for b in enc.encode(texts)]
+    assert got == [ids for ids, _ in expected(BYTE, texts)]
+    assert sum(calls) < 20  # not one call for each of 3,000 pieces
+    enc.width[:] += 1  # ends that don't meet: pieces are encoded one by one, not wrongly cut
+    enc.known = lexicon.Table(100)
+    assert [np.frombuffer(b, "<u4").tolist() for b in enc.encode(texts)] == got
+
+
+def test_full_lanes_and_steps_between_models():
+    rng = np.random.default_rng(5)
+    text = rng.integers(0, 3000, 50).repeat(3)
+    assert round_trip([np.resize(text, 4096), *[rng.zipf(1.3, n).clip(0, 65535) for n in (4096, 3583, 513, 512, 129, 128, 127, 33, 32, 31, 1)]])
+    steps, at = [], 0
+    for _ in range(6):
+        steps.append(at := id_files._after(at))
+    assert steps == [32, 128, 512, 1536, 2560, 3584]  # models of a block of 4,096 are made this often, not for each id
