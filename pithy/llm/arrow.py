@@ -65,8 +65,8 @@ def with_struct(df: DataFrame, value: Column, fields: dict[str, str], drop: tupl
     return step.select(*kept, *[F.col(f"{tmp}.{field}").alias(name) for name, field in fields.items()])
 
 
-def map_slices(fn: Callable[[pa.Array], pa.Array], returns: T.DataType, init: Callable[[], object] | None = None) -> Callable[[Column], Column]:
-    """An iterator Arrow UDF that applies ``fn(slice[, state])`` to slices of each batch.
+def map_slices(fn: Callable[[pa.Array], pa.Array], returns: T.DataType, init: Callable[[], object] | None = None, rows: int = SLICE_ROWS) -> Callable[[Column], Column]:
+    """An iterator Arrow UDF that applies ``fn(slice[, state])`` to slices of each batch, of at most ``rows`` rows.
 
     ``init`` builds the per-task state (a model, an automaton); it runs in the worker.
     """
@@ -74,7 +74,7 @@ def map_slices(fn: Callable[[pa.Array], pa.Array], returns: T.DataType, init: Ca
     def run(batches):
         state = init() if init else None
         for batch in batches:
-            out = [fn(part, state) if init else fn(part) for part in slices(batch)]
+            out = [fn(part, state) if init else fn(part) for part in slices(batch, rows)]
             yield pa.concat_arrays(out) if out else pa.array([], type=_arrow(returns))
         del state
         release()

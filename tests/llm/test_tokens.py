@@ -41,6 +41,21 @@ def test_pair_index_on_random_text(path):
     assert [[i for ids in row for i in ids] for row in b.encode(texts)] == [e[0] for e in expected(path, texts)]
 
 
+def test_many_small_indices_equal_library(spark, monkeypatch):
+    b, sizes = bpe.Bpe(WORD), []
+    run = b.index.run
+    monkeypatch.setattr(b.index, "run", lambda start: sizes.append(int((start == -1).sum())) or run(start))
+    words = [f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}word\u00e9" for k in range(5000)]
+    texts = ["", " ".join(words), "caf\u00e9, <|endoftext|>x \u1e9e'S a\u0301 12", None, " ".join(["again", *words[::-1]])]
+    flat, size = b.encode_flat([plain(t) for t in texts])
+    want = [ids for ids, _ in expected(WORD, texts)]
+    assert [r.tolist() for r in bpe.np.split(flat, bpe.np.cumsum(size)[:-1])] == want
+    assert sum(sizes) > 5000 and max(sizes) <= bpe.INDEX_TOKENS  # many indices, each near the processor
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = bpe.encode_decode(docs, WORD).orderBy("doc_id").collect()
+    assert [(r.ids, r.decoded) for r in got] == expected(WORD, texts)
+
+
 def test_decode_column(spark):
     docs = odd_docs(spark)
     back = docs.withColumn("ids", bpe.encode_column(docs, BYTE)).withColumn("back", bpe.decode_column(BYTE, F.col("ids"))).collect()
