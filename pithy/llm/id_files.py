@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +47,7 @@ BLOCK = 4096
 #: Blocks coded together; bounds a task's memory at about 35 MB for the models and 45 MB for ids and words.
 LANES = 1024
 SLOTS = 2048
-TABLE_PIECES = 160_000
+TABLE_PIECES = 400_000
 #: Pieces that the library gets at a time.
 JOINED_PIECES = 4096
 KEPT_CHARS = 64
@@ -311,7 +312,7 @@ class Encoder:
         for at in range(0, len(joined), JOINED_PIECES):
             some = joined[at : at + JOINED_PIECES]
             (ids,) = self.ids(["".join(some)])
-            ends = np.cumsum([len(p.encode()) for p in some])
+            ends = np.cumsum(np.fromiter(map(len, map(str.encode, some)), np.int64, len(some)))
             reached = np.cumsum(self.width[ids])
             cuts = np.searchsorted(reached, ends) + 1
             if len(reached) != cuts[-1] or (reached[cuts - 1] != ends).any():  # an id over an end: one by one
@@ -469,15 +470,21 @@ def _times(a: int, b: int) -> int:
     return out
 
 
-def joined_crc(first: int, second: int, n_bytes: int) -> int:
-    """crc32 of two byte strings in a row from the crc32 of each and the length of the second."""
+@lru_cache(BLOCK)  # a part of a document has at most BLOCK ids
+def _power(n_bytes: int) -> int:
+    """x^8 to the power of a number of bytes."""
     power, square = 0x80000000, 0x00800000  # 1 and x^8
     while n_bytes:
         if n_bytes & 1:
             power = _times(power, square)
         square = _times(square, square)
         n_bytes >>= 1
-    return _times(power, first) ^ second
+    return power
+
+
+def joined_crc(first: int, second: int, n_bytes: int) -> int:
+    """crc32 of two byte strings in a row from the crc32 of each and the length of the second."""
+    return _times(_power(n_bytes), first) ^ second
 
 
 def digest(spark: SparkSession, path: str) -> DataFrame:

@@ -45,6 +45,25 @@ def test_joined_crc():
         assert id_files.joined_crc(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
 
 
+def test_powers_of_a_length_are_made_once(monkeypatch):
+    calls, times = [], id_files._times
+    monkeypatch.setattr(id_files, "_times", lambda a, b: calls.append(1) or times(a, b))
+    for k in range(200):
+        first, second = b"%d" % k, bytes(3996) + b"%04d" % k
+        assert id_files.joined_crc(zlib.crc32(first), zlib.crc32(second), 4000) == zlib.crc32(first + second)
+    assert len(calls) < 250  # one product for each join
+
+
+def test_common_pieces_are_not_learnt_again():
+    enc = id_files.Encoder(lexicon.default_path("byte_bpe_50k.json"))
+    texts = [" ".join(f"w{k:x}" for k in range(at, at + 2000)) for at in range(0, 450_000, 2000)]
+    first = enc.encode(texts[:1])
+    for at in range(0, len(texts), 25):
+        enc.encode(texts[at : at + 25])
+    enc.learn = lambda pieces: {} if not pieces else pytest.fail("a known piece is learnt again")
+    assert enc.encode(texts[:1]) == first and enc.encode(texts[-1:])
+
+
 def brute(rows):
     out, start = {}, 0
     ids = expected(BYTE, [t for _, t in rows])
