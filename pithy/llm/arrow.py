@@ -65,10 +65,10 @@ def with_struct(df: DataFrame, value: Column, fields: dict[str, str], drop: tupl
     return step.select(*kept, *[F.col(f"{tmp}.{field}").alias(name) for name, field in fields.items()])
 
 
-def map_slices(fn: Callable[[pa.Array], pa.Array], returns: T.DataType, init: Callable[[], object] | None = None, rows: int = SLICE_ROWS) -> Callable[[Column], Column]:
+def map_slices(fn: Callable[[pa.Array], pa.Array], returns: T.DataType, init: Callable[[], object] | None = None, rows: int = SLICE_ROWS, once: bool = False) -> Callable[[Column], Column]:
     """An iterator Arrow UDF that applies ``fn(slice[, state])`` to slices of each batch, of at most ``rows`` rows.
 
-    ``init`` builds the per-task state (a model, an automaton); it runs in the worker.
+    ``init`` builds the per-task state (a model, an automaton); it runs in the worker. ``once``: see ``evaluated_once``.
     """
 
     def run(batches):
@@ -80,7 +80,13 @@ def map_slices(fn: Callable[[pa.Array], pa.Array], returns: T.DataType, init: Ca
         release()
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, returns)
+    made = F.arrow_udf(run, returns)
+    return evaluated_once(made) if once else made
+
+
+def evaluated_once(made):
+    """A UDF whose result may be filtered by a part of it: else the optimizer copies the call into the filter, and each task evaluates it twice in two workers."""
+    return made.asNondeterministic()
 
 
 def _arrow(kind: T.DataType) -> pa.DataType:

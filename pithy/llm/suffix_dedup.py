@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pithy.llm.arrow import map_slices, raw, release, struct_array, struct_type, text_column, with_struct
+from pithy.llm.arrow import evaluated_once, map_slices, raw, release, struct_array, struct_type, text_column, with_struct
 from pithy.llm.near_dup import Shingler, mix
 from pithy.llm.tables import shared_dir, with_class, written
 
@@ -294,7 +294,7 @@ def passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     keyed = base.select("id", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"))
     classes = written(keyed.groupBy("k1", "k2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")), f"{folder}/classes")
     firsts = written(classes.select(F.col("first").alias("id")), f"{folder}/firsts")
-    anchors = written(with_struct(base, map_slices(_anchor_slice, ANCHORS, Shingler)(F.col("text")), {"n_words": "n_words", "pos": "pos", "gram": "gram"}, drop=("text",)).where(f"n_words >= {MIN_WORDS}").join(firsts, "id", "left_semi"), f"{folder}/anchors")
+    anchors = written(with_struct(base, map_slices(_anchor_slice, ANCHORS, Shingler, once=True)(F.col("text")), {"n_words": "n_words", "pos": "pos", "gram": "gram"}, drop=("text",)).where(f"n_words >= {MIN_WORDS}").join(firsts, "id", "left_semi"), f"{folder}/anchors")
     each = anchors.select("id", F.explode(F.arrays_zip("pos", "gram")).alias("a")).select("id", "a.pos", "a.gram")
     again = written(each.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), f"{folder}/again")
     places = written(each.join(again, "gram", "left_semi").groupBy("id").agg(F.sort_array(F.collect_list("pos")).alias("pos")), f"{folder}/places")
@@ -348,6 +348,6 @@ def cut_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     found = written(passages(docs, id_col=id_col, text_col=text_col), f"{shared_dir(spark)}/passages").select(F.col(id_col).alias("__id"), F.col("spans").alias("__spans"))
     _cut.__annotations__ = {"texts": pa.Array, "spans": pa.Array, "return": pa.Array}
     joined = docs.join(found, docs[id_col].cast("long") == found["__id"], "left")
-    after = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(F.arrow_udf(_cut, T.StringType())(text_col, "__spans"))
+    after = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(evaluated_once(F.arrow_udf(_cut, T.StringType()))(text_col, "__spans"))
     done = joined.withColumn(text_col, after).where(F.col("__spans").isNull() | F.col(text_col).rlike(r"[^ \t-\r]"))
     return done.select(*[F.col(f"`{c}`") for c in docs.columns])

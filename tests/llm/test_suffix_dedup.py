@@ -85,6 +85,14 @@ def test_no_passage_is_lost(spark):
     assert not left
 
 
+def test_each_text_is_read_and_cut_once(spark, monkeypatch):
+    plans, write = [], sd.written
+    monkeypatch.setattr(sd, "written", lambda df, path: plans.append(df) or write(df, path))
+    plans.append(sd.cut_passages(spark.createDataFrame(planted(3, nested=False), "doc_id long, text string")))
+    calls = [df._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython [") for df in plans]
+    assert calls.count(1) == 3 and max(calls) == 1  # anchors, merged spans, cut texts; a filter must not evaluate them again
+
+
 def test_minimisers_cover_each_window():
     rng = np.random.default_rng(1)
     w = rng.integers(0, 1 << 62, 400, dtype=np.uint64)
